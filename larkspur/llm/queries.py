@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import near_duplicates
+from larkspur.llm import near_duplicates, speaker_turns
 from larkspur.tables import read
 
 
@@ -16,8 +16,16 @@ def p4_found(spark: SparkSession, directory: str) -> DataFrame:
     return pairs.select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
 
 
+def p5_found(spark: SparkSession, directory: str) -> DataFrame:
+    return speaker_turns.turn_starts(read(spark, directory, "transcript"), read(spark, directory, "speakers"))
+
+
+def p5_turns(spark: SparkSession, directory: str) -> DataFrame:
+    return speaker_turns.turns(read(spark, directory, "transcript"), read(spark, directory, "speakers"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found}
+    return {"p4_found": p4_found, "p5_found": p5_found, "p5_turns": p5_turns}
 
 
 def oracle_sql() -> dict[str, str]:
