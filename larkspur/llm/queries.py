@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import near_duplicates, speaker_turns
+from larkspur.llm import near_duplicates, scan_noise, speaker_turns
 from larkspur.tables import read
 
 
+def p3_found(spark: SparkSession, directory: str) -> DataFrame:
+    _, found = scan_noise.findings(read(spark, directory, "chunks"))
+    return found.select("chunk_id", "noise_kind").distinct()
+
+
+def p3_repaired(spark: SparkSession, directory: str) -> DataFrame:
+    return scan_noise.repaired(read(spark, directory, "chunks"))
+
+
 def p4_found(spark: SparkSession, directory: str) -> DataFrame:
     pairs = near_duplicates.similar_pairs(read(spark, directory, "chunks"), "chunk_id", "page_content", "ingested_at", 0.6)
     return pairs.select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
@@ -25,7 +34,7 @@ def p5_turns(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p5_found": p5_found, "p5_turns": p5_turns}
+    return {"p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p5_found": p5_found, "p5_turns": p5_turns}
 
 
 def oracle_sql() -> dict[str, str]:
