@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import near_duplicates, scan_noise, speaker_turns
+from larkspur.llm import near_duplicates, scan_noise, speaker_turns, truncation
 from larkspur.tables import read
 
 
+def p1_found(spark: SparkSession, directory: str) -> DataFrame:
+    _, cut = truncation.cut_records(read(spark, directory, "chunks"), read(spark, directory, "search_results"))
+    return cut.select("table_name", "record_key")
+
+
+def p1_rates(spark: SparkSession, directory: str) -> DataFrame:
+    return truncation.cut_rates(read(spark, directory, "chunks"), read(spark, directory, "search_results"))
+
+
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     _, found = scan_noise.findings(read(spark, directory, "chunks"))
     return found.select("chunk_id", "noise_kind").distinct()
@@ -34,7 +43,7 @@ def p5_turns(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p5_found": p5_found, "p5_turns": p5_turns}
+    return {"p1_found": p1_found, "p1_rates": p1_rates, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p5_found": p5_found, "p5_turns": p5_turns}
 
 
 def oracle_sql() -> dict[str, str]:
