@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import near_duplicates, scan_noise, speaker_turns, truncation
+from larkspur.llm import garbled, near_duplicates, scan_noise, speaker_turns, splitting, truncation
 from larkspur.tables import read
 
 
@@ -20,6 +20,15 @@ def p1_rates(spark: SparkSession, directory: str) -> DataFrame:
     return truncation.cut_rates(read(spark, directory, "chunks"), read(spark, directory, "search_results"))
 
 
+def p2_pieces(spark: SparkSession, directory: str) -> DataFrame:
+    return splitting.pieces(read(spark, directory, "chunks"), read(spark, directory, "process_request"), read(spark, directory, "split_limits"))
+
+
+def p2_found(spark: SparkSession, directory: str) -> DataFrame:
+    # an item over its limit comes out in two pieces or more, numbered from 0
+    return p2_pieces(spark, directory).where("piece_no = 1").select("table_name", "record_key")
+
+
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     _, found = scan_noise.findings(read(spark, directory, "chunks"))
     return found.select("chunk_id", "noise_kind").distinct()
@@ -42,8 +51,18 @@ def p5_turns(spark: SparkSession, directory: str) -> DataFrame:
     return speaker_turns.turns(read(spark, directory, "transcript"), read(spark, directory, "speakers"))
 
 
+def p8_found(spark: SparkSession, directory: str) -> DataFrame:
+    _, found = garbled.findings(read(spark, directory, "documents"))
+    return found.select("doc_id").distinct()
+
+
+def p8_restored(spark: SparkSession, directory: str) -> DataFrame:
+    return garbled.restored(read(spark, directory, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_rates": p1_rates, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p5_found": p5_found, "p5_turns": p5_turns}
+    named = [p1_found, p1_rates, p2_found, p2_pieces, p3_found, p3_repaired, p4_found, p5_found, p5_turns, p8_found, p8_restored]
+    return {query.__name__: query for query in named}
 
 
 def oracle_sql() -> dict[str, str]:
