@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import garbled, near_duplicates, scan_noise, speaker_turns, splitting, truncation
+from larkspur.llm import garbled, mixing, near_duplicates, packing, scan_noise, speaker_turns, splitting, truncation
 from larkspur.tables import read
 
 
@@ -51,6 +51,23 @@ def p5_turns(spark: SparkSession, directory: str) -> DataFrame:
     return speaker_turns.turns(read(spark, directory, "transcript"), read(spark, directory, "speakers"))
 
 
+def p6_packed(spark: SparkSession, directory: str) -> DataFrame:
+    return packing.packed(read(spark, directory, "documents"), read(spark, directory, "pack_sizes"))
+
+
+def p6_report(spark: SparkSession, directory: str) -> DataFrame:
+    return packing.report(p6_packed(spark, directory))
+
+
+def p7_mixed(spark: SparkSession, directory: str) -> DataFrame:
+    uses, _ = mixing.mixed(read(spark, directory, "documents"), read(spark, directory, "mix_targets"))
+    return uses
+
+
+def p7_shares(spark: SparkSession, directory: str) -> DataFrame:
+    return mixing.shares(*mixing.mixed(read(spark, directory, "documents"), read(spark, directory, "mix_targets")))
+
+
 def p8_found(spark: SparkSession, directory: str) -> DataFrame:
     _, found = garbled.findings(read(spark, directory, "documents"))
     return found.select("doc_id").distinct()
@@ -61,7 +78,7 @@ def p8_restored(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [p1_found, p1_rates, p2_found, p2_pieces, p3_found, p3_repaired, p4_found, p5_found, p5_turns, p8_found, p8_restored]
+    named = [p1_found, p1_rates, p2_found, p2_pieces, p3_found, p3_repaired, p4_found, p5_found, p5_turns, p6_packed, p6_report, p7_mixed, p7_shares, p8_found, p8_restored]
     return {query.__name__: query for query in named}
 
 
