@@ -244,7 +244,7 @@ def restored(documents: DataFrame) -> DataFrame:
         for batch in batches:
             texts, many, left = [], [], []
             for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                table = {f["word"]: f["original"] for f in found}
+                table = {f["word"]: f["original"] for f in sorted(found, key=lambda f: f["original"] is not None)}
                 text = plain(text)
                 for a, b, p in reversed(wide_stretches(text)):
                     text = text[:a] + p + text[b:]

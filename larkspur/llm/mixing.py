@@ -122,4 +122,4 @@ def shares(uses: DataFrame, targets: DataFrame) -> DataFrame:
     got = uses.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("tokens"), F.count("*").alias("texts"), F.max("uses").alias("most_uses"))
     total = Window.partitionBy()
     out = targets.where("target_share > 0").join(got, "source", "left").select("source", "target_share", "max_repeats", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tokens", "texts", "most_uses")])
-    return out.withColumn("actual_share", F.round(F.col("tokens") / F.sum("tokens").over(total), 6))
+    return out.withColumn("actual_share", F.round(F.try_divide("tokens", F.sum("tokens").over(total)), 6))

@@ -43,6 +43,10 @@ def p4_found(spark: SparkSession, directory: str) -> DataFrame:
     return pairs.select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
 
 
+def p4_groups(spark: SparkSession, directory: str) -> DataFrame:
+    return near_duplicates.groups(read(spark, directory, "chunks"), "chunk_id", "page_content", "ingested_at", 0.6)
+
+
 def p5_found(spark: SparkSession, directory: str) -> DataFrame:
     return speaker_turns.turn_starts(read(spark, directory, "transcript"), read(spark, directory, "speakers"))
 
@@ -78,7 +82,7 @@ def p8_restored(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [p1_found, p1_rates, p2_found, p2_pieces, p3_found, p3_repaired, p4_found, p5_found, p5_turns, p6_packed, p6_report, p7_mixed, p7_shares, p8_found, p8_restored]
+    named = [p1_found, p1_rates, p2_found, p2_pieces, p3_found, p3_repaired, p4_found, p4_groups, p5_found, p5_turns, p6_packed, p6_report, p7_mixed, p7_shares, p8_found, p8_restored]
     return {query.__name__: query for query in named}
 
 

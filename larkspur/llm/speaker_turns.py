@@ -93,21 +93,22 @@ def pieces(transcript: DataFrame, speakers: DataFrame, window_s: int) -> DataFra
     has = F.instr("raw", "\u0002") > 0
     cut = cut.select(
         "video_id", "entry_id", "start", "win", "pos",
-        F.when(has, F.split(F.trim(F.regexp_replace(F.lower(F.substring_index("raw", "\u0002", 1)), r"[.,\s]+", " ")), " ")).alias("label"),
+        F.when(has, F.split(F.trim(F.substring_index("raw", "\u0002", 1)), r"\s+")).alias("said"),
         F.when(has, F.substring_index(F.substring_index("raw", "\u0003", 1), "\u0002", -1)).alias("written"),
         F.when(has, F.substring_index("raw", "\u0003", -1)).otherwise(F.col("raw")).alias("rest"),
     )
-    n = F.size("label")
+    n = F.size("said")
+    cut = cut.withColumn("label", F.transform("said", lambda w: F.regexp_replace(F.lower(w), "[.,]", "")))
     forms = name_forms(speakers)
     forms = F.broadcast(forms) if speakers.count() <= 1000 else forms  # about 90 forms a speaker
     for words in (3, 2, 1):
         key = F.when(n >= words, F.array_join(F.slice("label", n - words + 1, words), " "))
         cut = cut.withColumn(f"k{words}", key).join(forms.select(F.col("form").alias(f"k{words}"), F.col("speaker_key").alias(f"s{words}")), f"k{words}", "left")
-    said = F.when(F.col("s2").isNotNull() | F.col("s3").isNotNull(), F.coalesce("s3", "s2")).otherwise(F.col("s1"))
+    speaker = F.when(F.col("s2").isNotNull() | F.col("s3").isNotNull(), F.coalesce("s3", "s2")).otherwise(F.col("s1"))
     used = F.when(F.col("s3").isNotNull(), 3).when(F.col("s2").isNotNull(), 2).otherwise(1)
     # words before the name belong to the speaker before; titles of a label don't
-    before = F.when(said.isNotNull() & (n > used), F.regexp_replace(F.array_join(F.slice("label", F.lit(1), n - used), " "), r"(?:^| )(?:moderator|speaker)$", ""))
-    cut = cut.select("video_id", "entry_id", "start", "win", "pos", said.alias("speaker_key"), before.alias("before"), F.when(said.isNotNull(), F.col("rest")).otherwise(F.concat(F.coalesce("written", F.lit("")), "rest")).alias("rest"))
+    before = F.when(speaker.isNotNull() & (n > used), F.regexp_replace(F.array_join(F.slice("said", F.lit(1), n - used), " "), r"(?i)(?:^| )(?:moderator|speaker)$", ""))
+    cut = cut.select("video_id", "entry_id", "start", "win", "pos", speaker.alias("speaker_key"), before.alias("before"), F.when(speaker.isNotNull(), F.col("rest")).otherwise(F.concat(F.coalesce("written", F.lit("")), "rest")).alias("rest"))
     both = F.array(
         F.struct((F.col("pos") * 2).alias("pos"), F.lit(None).cast("string").alias("speaker_key"), F.col("before").alias("words")),
         F.struct((F.col("pos") * 2 + 1).alias("pos"), F.col("speaker_key").alias("speaker_key"), F.col("rest").alias("words")),
