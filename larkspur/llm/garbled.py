@@ -4,7 +4,8 @@ A word here is a run of ASCII letters and non-ASCII characters with at least one
 such a character into an ASCII one, so a garbled word is a run, too. The distinct words of the corpus are counted, all
 garbled forms of the clean ones are generated under every chain of encodings below, and the corpus words are hash-joined
 with these forms. What is met is garbled; it is replaced by the commonest original. Forms that only swap one
-single-byte encoding for another can be words of another language, so they must also be rarer than their original.
+single-byte encoding for another can be words of another language, so they must also be rarer than their original, or
+mix two alphabets.
 
 An exact check follows for words whose original occurs nowhere: a run that encodes and decodes back as UTF-8 is
 garbled. Stretches that were UTF-8 read as UTF-16 have no words left; they are found by reading them back. A
@@ -171,7 +172,7 @@ def garbled_words(words: DataFrame) -> DataFrame:
             for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if REPLACED in word or scripts(word) > 1 or reversed_once(word) or any("\x80" <= c <= "\x9f" for c in word):
                     continue  # not clean itself
-                rows += [(f, word, n, chain, swap) for f, (chain, swap) in garbled_forms(word).items()]
+                rows += [(f, word, n, chain, swap and scripts(f) < 2) for f, (chain, swap) in garbled_forms(word).items()]
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_()), strict=True)], names=["word", "original", "of", "chain", "swap"])
 

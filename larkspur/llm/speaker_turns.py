@@ -22,7 +22,7 @@ from larkspur.session import materialize
 from larkspur.tables import latest
 
 # What captions put between the words of speech.
-FILLERS = ["uh-huh", "uhm", "um", "uh", "erm", "er", "hmm", "you know", "i mean", "sort of", "kind of", "okay so", "right\\?", "like"]
+FILLERS = ["uh-huh", "uhm", "um", "uh", "erm", "er", "hmm", "you know", "i mean", "sort of", "kind of", "okay so", "(?<!the )right\\??", "like"]
 CLOCK = r"\[\d+:\d\d(?::\d\d)?\]|\(\d+:\d\d(?::\d\d)?\)|(?<!\S)\d+:\d\d(?::\d\d)?(?:\s+[-–]\s)|(?<!\S)\d+:\d\d:\d\d(?!\S)"
 SOUND = r"(?i)<i>[^<]*</i>|\*[^*\n]{1,60}\*|♪[^♪]*♪|♪|\[(?:inaudible|crosstalk|unintelligible)[^\]]*\]"
 # A label is a name between brackets, a name before a colon, or surname and first name before a dash.

@@ -4,10 +4,10 @@ For the last characters c of a value (or of a line that ends a paragraph) the mo
 after c with how often they go on after c: log-odds = log P(c | end) - log P(c | going on). It is trained on all
 values of the same column and language: contexts of 7, 5, 3, 2 and 1 characters, backed off to the longest with
 enough support, the value's own end left out. The log-odds are measured against that language's and column's own
-rates, so one threshold holds for all: an end must be e times likelier than going on. Counts live in tables of fixed size (about 23 MB).
+rates, so one threshold holds for all: an end must be e**2 times likelier than going on. Counts live in tables of fixed size (about 23 MB).
 
 What follows is exact: an explicit mark of cutting (an ellipsis, half an entity, half a character) is taken off before
-the context is read, and a last line that is a heading, list item, link, signature or field is whole by its form,
+the context is read, and a last line that is a heading, list item, link, signature, field or remark in brackets is whole by its form,
 and one with a sentence's end is whole. Only ends that such forms don't explain train the model.
 Running headers and page numbers of scanned pages are set aside, and lines wrapped to a width are one line.
 
@@ -44,13 +44,14 @@ ITEM = re.compile(r"^\s*(?:[-*•‣]|\d+[.)]|\(?[a-z]\))\s+\S")
 SIGNED = re.compile(r"^\s*[—–]\s*[^\W\d_]")
 FIELD = re.compile(r"^\s*[^\W\d_][\w ]{1,20}:\s+(.*)$")
 SHORT_LIST = re.compile(r"^[\w'’-]+(?: [\w'’-]+){0,2}(?:, [\w'’-]+(?: [\w'’-]+){0,2})*$")
+REMARK = re.compile(r"[.!?][\"”’»')\]]*\s+\([^()]{8,}\)$")
 LABELLED = re.compile(r"^\s*(?:chapter|section|part|appendix|fy ?\d+|contents|fees for|bring with)\b", re.IGNORECASE)
 
 
 def is_title(line: str) -> bool:
     """Capitals at most of the longer words, or at all of them."""
     line = re.sub(r",?\s+no\.\s*\S+", "", line)
-    words = [w for w in re.findall(r"[^\W\d_]+", line) if len(w) > 3]
+    words = [w for w in re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)*", line) if len(w) > 3]
     return bool(words) and len(line) < 120 and (line.upper() == line or sum(w[0].isupper() for w in words) >= 0.6 * len(words) and not re.search(r"[.!?,;] ", line))
 
 
@@ -66,7 +67,7 @@ def is_furniture(line: str) -> bool:
 def is_whole(line: str, marked: bool) -> bool:
     """Whether a line (without its mark of cutting) is complete: a sentence's end, or, without such a mark, a complete form."""
     x = line.strip()
-    if not x or END.search(x):
+    if not x or END.search(x) or REMARK.search(x):
         return True
     if is_number(x) or BOTH.match(x) or LINK.search(x) or SIGNED.match(x) and len(x) < 80:
         return not marked
@@ -222,7 +223,7 @@ def scored(vals: DataFrame, support: int = 200) -> DataFrame:
     return vals.mapInArrow(run, "table_name string, record_key string, origin string, grp string, line int, log_odds double, marked boolean, broken boolean, whole boolean")
 
 
-def cut_records(chunks: DataFrame, results: DataFrame, threshold: float = 1.0, marked: float = 4.0) -> tuple[DataFrame, DataFrame]:
+def cut_records(chunks: DataFrame, results: DataFrame, threshold: float = 2.0, marked: float = 4.0) -> tuple[DataFrame, DataFrame]:
     """(values, cut): all records, and (table_name, record_key, origin) of those with a cut end."""
     vals = materialize(values(chunks, results), "values")
     # a mark of cutting speaks for a cut by itself
@@ -230,7 +231,7 @@ def cut_records(chunks: DataFrame, results: DataFrame, threshold: float = 1.0, m
     return vals, scored(vals).where(cut).select("table_name", "record_key", "origin").distinct()
 
 
-def cut_rates(chunks: DataFrame, results: DataFrame, threshold: float = 1.0) -> DataFrame:
+def cut_rates(chunks: DataFrame, results: DataFrame, threshold: float = 2.0) -> DataFrame:
     """(table_name, origin, records, cut_records, cut_share): by source_method for chunks, by client for search_results. Null origins are a group."""
     vals, cut = cut_records(chunks, results, threshold)
     total = vals.groupBy("table_name", "origin").agg(F.count("*").alias("records"))
