@@ -12,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: str | None = None
+_written: list[tuple[SparkSession, str]] = []
 
 
 def build_session(app: str = "larkspur", master: str = "local[8]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -55,10 +56,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_remove_written)
+    _written.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove_written() -> None:
+    """Results are lazy, so these tables are needed until the program ends."""
+    for spark, path in _written:
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001 - the context has stopped
+            return
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per context, whatever their PYTHONPATH is."""
     context = spark.sparkContext
