@@ -26,6 +26,21 @@ def fixed_chunks(df: DataFrame, text: str, size: Column | int, *keep: str) -> Da
     return rows.select(*keep, F.posexplode(parts).alias("chunk_no", "chunk"))
 
 
+def _packed_lengths(lengths: pd.Series, limits: pd.Series) -> pd.Series:
+    """The number of each sentence's chunk."""
+    out = []
+    for each, limit in zip(lengths, limits, strict=True):
+        no, filled, of = -1, 0, []
+        for n in each:
+            if no >= 0 and filled + n <= limit:
+                filled += n + 1
+            else:
+                no, filled = no + 1, n
+            of.append(no)
+        out.append(of)
+    return pd.Series(out)
+
+
 def sentence_chunks(df: DataFrame, text: str, size: Column | int, *keep: str) -> DataFrame:
     """(keep..., chunk_no, chunk): sentences packed greedily, so that chunk plus sentence, without the space between, is at most `size`.
 
@@ -34,15 +49,8 @@ def sentence_chunks(df: DataFrame, text: str, size: Column | int, *keep: str) ->
     size = F.lit(size) if isinstance(size, int) else size
     rows = df.where(F.length(text) > 0).select(*keep, F.regexp_extract_all(text, F.lit(r"[^.!?]+[.!?]*"), 0).alias("_s"), size.alias("_n"))
     rows = rows.withColumn("_s", F.filter(F.transform("_s", lambda s: F.trim(s, F.lit(" \n\r\t"))), lambda s: s != ""))
-    # only numbers are folded: the chunk of each sentence and that chunk's length so far
-    start = F.struct(F.lit(-1).alias("no"), F.lit(0).alias("len"), F.expr("cast(array() as array<int>)").alias("of"))
-
-    def step(acc: Column, n: Column, limit: Column) -> Column:
-        fits = (acc["no"] >= 0) & (acc["len"] + n <= limit)
-        no = F.when(fits, acc["no"]).otherwise(acc["no"] + 1)
-        return F.struct(no.alias("no"), F.when(fits, acc["len"] + n + 1).otherwise(n).alias("len"), F.concat(acc["of"], F.array(no)).alias("of"))
-
-    folded = rows.withColumn("_of", F.aggregate(F.transform("_s", F.length), start, lambda acc, n: step(acc, n, F.col("_n")))["of"])
+    # only lengths go to the fold, in Arrow batches: an accumulated array would be copied for every sentence
+    folded = rows.withColumn("_of", F.pandas_udf(_packed_lengths, "array<int>")(F.transform("_s", lambda s: F.length(s)), F.col("_n")))
     each = folded.select(*keep, F.posexplode(F.arrays_zip("_of", "_s")).alias("_p", "_x"))
     joined = each.groupBy(*keep, F.col("_x._of").alias("chunk_no")).agg(F.array_sort(F.collect_list(F.struct("_p", "_x._s"))).alias("_l"))  # one chunk's sentences
     return joined.select(*keep, "chunk_no", F.array_join(F.transform("_l", lambda x: x["_s"]), " ").alias("chunk"))

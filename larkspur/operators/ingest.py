@@ -50,3 +50,22 @@ def one_per_prefix(chunks: DataFrame, group: list[str], order: list[str]) -> Dat
     """First chunk of each (group, title, page, first 100 characters of its content)."""
     keyed = chunks.withColumn("_h", F.md5(F.substring("page_content", 1, 100)))
     return keep_first(keyed, [*group, "title", "page", "_h"], order).drop("_h")
+
+
+# What a recording's metadata is where a key is missing.
+DEFAULTS = {"title": "Title not found", "description": "", "duration": 0, "view_count": 0, "upload_date": "", "uploader": "", "channel": "", "channel_id": "", "language": "", "like_count": 0, "age_limit": 0}
+
+
+def with_defaults(metadata: DataFrame) -> DataFrame:
+    """Nulls as each key's default, tags and categories as empty arrays, missing subtitles as false, and the upload date parsed where it can be."""
+    kinds = dict(metadata.dtypes)
+    out = metadata
+    for column, value in DEFAULTS.items():
+        if column in kinds:
+            out = out.withColumn(column, F.coalesce(column, F.lit(value).cast(kinds[column])))
+    for column in ("tags", "categories"):
+        if column in kinds:
+            out = out.withColumn(column, F.coalesce(column, F.array().cast(kinds[column])))
+    if "subtitles_available" in kinds:
+        out = out.withColumn("subtitles_available", F.coalesce("subtitles_available", F.lit(False)))
+    return out.withColumn("uploaded_on", F.try_to_date("upload_date", "yyyyMMdd"))

@@ -184,3 +184,44 @@ def load_outcome(spark: SparkSession, directory: str) -> DataFrame:
 def pricing_summary(spark: SparkSession, directory: str) -> DataFrame:
     revenue = F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2)
     return read(spark, directory, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), revenue.alias("revenue"), F.count("*").alias("n"))
+
+
+@plans.add("""select url, coalesce(description, '') as description, coalesce(duration, 0) as duration, coalesce(view_count, 0) as view_count, coalesce(uploader, '') as uploader, coalesce(channel, '') as channel,
+coalesce(language, '') as language, coalesce(like_count, 0) as like_count, len(coalesce(tags, []))::int as tags, coalesce(subtitles_available, false) as subtitles, try_strptime(upload_date, '%Y%m%d')::date as uploaded_on from video_metadata""")
+def metadata_defaults(spark: SparkSession, directory: str) -> DataFrame:
+    rows = ingest.with_defaults(read(spark, directory, "video_metadata"))
+    return rows.select("url", "description", "duration", "view_count", "uploader", "channel", "language", "like_count", F.size("tags").alias("tags"), F.col("subtitles_available").alias("subtitles"), "uploaded_on")
+
+
+@plans.add("select doc_id, replace(url_encode(title), '%20', '+') as query from documents where title is not null and not regexp_matches(title, '[^A-Za-z0-9 ._-]')")
+def url_params(spark: SparkSession, directory: str) -> DataFrame:
+    rows = read(spark, directory, "documents").where("title is not null and not title rlike '[^A-Za-z0-9 ._-]'")
+    return rows.select("doc_id", F.url_encode("title").alias("query"))
+
+
+@plans.add("""with q as (select vec_id, embedding from embeddings where vec_id % 20 = 0),
+hits as (select q.vec_id as qid, e.vec_id, list_inner_product(q.embedding::double[], e.embedding::double[]) as score from q, embeddings e),
+top as (select * from hits qualify row_number() over (partition by qid order by score desc, vec_id) <= 3)
+select t.qid, t.vec_id, d.title, d.lang from top t join documents d on d.doc_id = t.vec_id""")
+def docstore_join(spark: SparkSession, directory: str) -> DataFrame:
+    """Index ids to documents, after the search."""
+    from larkspur.operators.retrieval import top_k
+
+    rows = read(spark, directory, "embeddings")
+    hits = top_k(rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding"), rows, 3)
+    docs = read(spark, directory, "documents").select(F.col("doc_id").alias("vec_id"), "title", "lang")
+    return hits.select("qid", "vec_id").join(docs, "vec_id").select("qid", "vec_id", "title", "lang")
+
+
+@plans.add()
+def ask(spark: SparkSession, directory: str) -> DataFrame:
+    """Every document whose id is divisible by 20 asks with its title, against all documents; the label is made from its language by rule."""
+    from larkspur.operators.asking import ask as answers
+    from larkspur.operators.embedding import hash_embedder
+
+    docs = read(spark, directory, "documents")
+    chunks = docs.select("doc_id", F.col("text").alias("page_content"), "title", F.lit("pdf").alias("type"), F.col("page_url").alias("source"), F.lit(0.0).alias("page"), F.lit(None).cast("string").alias("summary"))
+    label = F.when(F.col("lang") == "en", "document request ragfusion").when(F.col("lang").isNull(), "chat").otherwise("document request")
+    questions = docs.where("doc_id % 20 = 0 and title is not null").select(F.col("doc_id").alias("qid"), F.col("title").alias("question"), label.alias("label"))
+    out = answers(questions, chunks, "doc_id", translation.rule_model, hash_embedder())
+    return out.select("qid", F.length("answer").alias("answer_length"), F.md5("answer").alias("answer_md5"))

@@ -79,3 +79,26 @@ def dead_letter_batches(accepted: str, dead: str):  # noqa: ANN201
         told.unpersist()
 
     return write
+
+
+class FileQueue:
+    """A queue of JSON files in a shared folder: sending adds files, receiving is a stream over them, a checkpoint acknowledges."""
+
+    SCHEMA = "request_id long, queue_name string, text string, chunk_size int, pca_components int, receive_count int, sent_at timestamp"
+
+    def __init__(self, spark, path: str) -> None:  # noqa: ANN001
+        self.spark, self.path = spark, path
+
+    def send(self, messages: DataFrame) -> None:
+        """Messages over the size cap aren't sent."""
+        messages.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= MOST_BYTES).write.mode("append").json(self.path)
+
+    def receive(self, batch: int = BATCH, archive: str | None = None) -> DataFrame:
+        """A stream of the messages, at most `batch` files at a time; read files move to `archive`, if given."""
+        reader = self.spark.readStream.schema(self.SCHEMA).option("maxFilesPerTrigger", batch)
+        if archive:
+            reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+        return reader.json(self.path)
+
+    def attributes(self) -> dict[str, int]:
+        return {"ApproximateNumberOfMessages": self.spark.read.schema(self.SCHEMA).json(self.path).count()}

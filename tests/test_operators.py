@@ -188,3 +188,24 @@ def test_hash_embedder(spark):
     out = spark.createDataFrame([("a b",), (None,), ("",)], "t string").select(embedding.hash_embedder(8)("t").alias("v")).collect()
     assert abs(np.linalg.norm(out[0].v) - 1) < 1e-6 and not any(out[1].v) and not any(out[2].v)
     assert isinstance(translation.rule_model(pd.Series(["clean|x"])).iloc[0], str)
+
+
+def test_ask(spark):
+    from larkspur.operators import asking
+
+    chunks = spark.createDataFrame([(1, "fees for public records", "Fees", "pdf", "s1", 0.0, None), (2, "court access rules", "Court", "youtube", "s2", 12.0, "sum"), (3, None, "None", "pdf", "s3", 0.0, None)], "id long, page_content string, title string, type string, source string, page double, summary string")
+    questions = spark.createDataFrame([(1, "fees for records", "document request ragfusion"), (2, "court access", "document request"), (3, "hello", "chat"), (4, None, None)], "qid long, question string, label string")
+    got = {r.qid: r.answer for r in asking.ask(questions, chunks, "id", translation.rule_model, embedding.hash_embedder(), 1).collect()}
+    assert got[1].startswith("final: title: Fees\ntype: pdf") and "summary: None" in got[1]
+    assert "link: s2&t=12s" in got[2] and got[3] == "general: hello" and 4 in got
+    empty = asking.ask(questions, chunks.limit(0), "id", translation.rule_model, embedding.hash_embedder())
+    assert {r.qid: r.answer for r in empty.collect()}[1].startswith("final: No documents available")
+    hist = spark.createDataFrame([(1, "earlier")], "qid long, history string")
+    assert {r.qid: r.standalone for r in asking.contextualised(questions.where("qid < 3"), hist, translation.rule_model).collect()} == {1: "earlier fees for records", 2: "court access"}
+
+
+def test_file_queue(spark, tmp_path):
+    q = queue.FileQueue(spark, str(tmp_path / "q"))
+    q.send(spark.createDataFrame([(1, "in", "x", 5), (2, "in", "y" * 300_000, 5)], "request_id long, queue_name string, text string, chunk_size int"))
+    assert q.attributes() == {"ApproximateNumberOfMessages": 1}
+    assert [r.request_id for r in run_to_end(q.receive(archive=str(tmp_path / "a"))).collect()] == [1]
