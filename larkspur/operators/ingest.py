@@ -46,10 +46,14 @@ def result_rows(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", text("summary"), text("source"), text("type"), text("title"), F.when(F.col("type") == "youtube", F.col("page")).alias("timestamp_seconds"))
 
 
-def one_per_prefix(chunks: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    """First chunk of each (group, title, page, first 100 characters of its content)."""
-    keyed = chunks.withColumn("_h", F.md5(F.substring("page_content", 1, 100)))
-    return keep_first(keyed, [*group, "title", "page", "_h"], order).drop("_h")
+def one_per_prefix(chunks: DataFrame, group: list[str], order: list[str], keep: list[str]) -> DataFrame:
+    """(group, title, page, keep): first chunk of each (group, title, page, first 100 characters of its content).
+
+    Contents stay behind: only their hashes are shuffled, and who needs the text joins it by key afterwards.
+    """
+    named = dict.fromkeys([*group, "title", "page", *order, *keep])
+    keyed = chunks.select(*named, F.md5(F.substring("page_content", 1, 100)).alias("_h"))
+    return keep_first(keyed, [*group, "title", "page", "_h"], order).select(*dict.fromkeys([*group, "title", "page", *keep]))
 
 
 # What a recording's metadata is where a key is missing.

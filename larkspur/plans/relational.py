@@ -20,7 +20,7 @@ plans = Registry()
 @plans.add("""select title, page, chunk_id from chunks qualify row_number() over (partition by title, page, md5(substr(page_content, 1, 100)) order by chunk_id) = 1""")
 def dedupe_chunk_key(spark: SparkSession, directory: str) -> DataFrame:
     rows = read(spark, directory, "chunks").select("title", "page", "chunk_id", "page_content")
-    return ingest.one_per_prefix(rows, [], ["chunk_id"]).select("title", "page", "chunk_id")
+    return ingest.one_per_prefix(rows, [], ["chunk_id"], ["chunk_id"])
 
 
 @plans.add("""select qid, title, timestamp_seconds, result_id from search_results qualify row_number() over (partition by qid, title, timestamp_seconds order by event_no, rank_no, result_id) = 1""")
