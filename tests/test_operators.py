@@ -209,3 +209,13 @@ def test_file_queue(spark, tmp_path):
     q.send(spark.createDataFrame([(1, "in", "x", 5), (2, "in", "y" * 300_000, 5)], "request_id long, queue_name string, text string, chunk_size int"))
     assert q.attributes() == {"ApproximateNumberOfMessages": 1}
     assert [r.request_id for r in run_to_end(q.receive(archive=str(tmp_path / "a"))).collect()] == [1]
+
+
+def test_placeholder_and_two_levels(spark):
+    from larkspur.operators import chunking
+
+    df = spark.createDataFrame([(1, "same"), (2, "same"), (3, None), (4, "x y. " * 3000)], "id long, t string")
+    got = {r.id: r.v for r in df.select("id", embedding.placeholder_embedding(F.col("t"), 5).alias("v")).collect()}
+    assert got[1] == got[2] and len(set(got[1])) == 1 and 0 <= got[1][0] < 1000 and got[3] is None
+    parts = chunking.two_level_chunks(df, "t", "id").where("id = 4").collect()
+    assert all(len(r.chunk) <= 512 for r in parts) and len({r.part_no for r in parts}) == 4 and len({(r.part_no, r.chunk_no) for r in parts}) == len(parts)
