@@ -7,14 +7,14 @@ merges the short ones, and probes the long ones by binary search only for record
 1. `sequence_sets`   one pass over the texts; the sets are written once to the shared folder.
 2. `length_sketch`   lengths of all inverted lists in a count-min sketch of fixed size (8 MB, broadcast). It
                      never counts too low, so a list of length 1 is known to be without partner and is skipped.
-3. `short_postings`  the shortest lists of each record (`short_lists`, or `short_share` of its sequences if that is
-                     more), with the record's size and a bitmap.
+3. `short_postings`  the shortest lists of each record, n - ceil((1 - short_share) * n) + 1 of its n with the lists of
+                     length 1 counted in, with the record's size and a bitmap.
 4. `merge_lists`     the short lists are merged where their token's hash puts them. Within a list a size test and
                      the bitmap's bound on the overlap drop pairs that can't reach T. Both are exact.
 5. `probe`           the sets of each pair left are probed by binary search, and the overlap must reach T.
 
-A pair is missed only if the shortest lists of both have none in common. With short_share = 1 - t that can't be; the
-default merges fewer lists, because lists grow with the corpus and work with their square.
+Lists have one order for all records, by length and token. Of two records that share at least ceil(t * n) sequences each,
+the shortest n - ceil(t * n) + 1 lists have one in common, so with short_share = 1 - t, the default, no pair is missed.
 
 Records with equal sets form one class and are searched once; a class id is the hash of the set. Lists longer
 than `block` are cut into blocks and each pair of blocks is a task of its own, so no list, however long, has to
@@ -112,7 +112,7 @@ def _length_of(code: np.ndarray) -> np.ndarray:
     return np.where(code <= 32, code, np.ceil(32 * 2 ** ((code.astype(np.float64) - 32) / 8))).astype(np.int64)
 
 
-def short_postings(sets: DataFrame, sketch: np.ndarray, short_lists: int, short_share: float, block: int, partitions: int) -> DataFrame:
+def short_postings(sets: DataFrame, sketch: np.ndarray, short_share: float, block: int, partitions: int) -> DataFrame:
     """(part, rows): packed postings of each record's shortest lists, grouped by where they are merged."""
     shared = sets.sparkSession.sparkContext.broadcast(sketch)
 
@@ -130,10 +130,10 @@ def short_postings(sets: DataFrame, sketch: np.ndarray, short_lists: int, short_
                 a, b = _slots(tokens)
                 code = np.minimum(table[0][a], table[1][b])
                 order = (code.astype(np.uint64) << np.uint64(32)) | tokens
-                order = order[code > 1]  # a list of one record has no pair
-                if not len(order):
+                order = order[code > 1]  # a list of one record has no pair, but is one of the shortest
+                short = n - int(np.ceil((1 - short_share) * n - 1e-9)) + 1 - (n - len(order))
+                if short < 1 or not len(order):
                     continue
-                short = max(short_lists, int(np.ceil(short_share * n)))
                 if len(order) > short:
                     order = np.partition(order, short - 1)[:short]
                 blocks = np.maximum(1, -(-_length_of((order >> np.uint64(32)).astype(np.int64)) // block))
@@ -277,12 +277,12 @@ def probe(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, similarity double")
 
 
-def class_pairs(df: DataFrame, key: str, text: str, order: str, threshold: float, width: int = 3, short_lists: int = 24, short_share: float = 0.16, block: int = 20_000) -> tuple[DataFrame, DataFrame]:
+def class_pairs(df: DataFrame, key: str, text: str, order: str, threshold: float, width: int = 3, short_share: float | None = None, block: int = 20_000) -> tuple[DataFrame, DataFrame]:
     """(pairs of classes with similarity, membership key -> class). Classes are groups of records with equal sets."""
     spark: SparkSession = df.sparkSession
     sets = materialize(sequence_sets(df, key, text, order, width), "sets")
     partitions = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    postings = short_postings(sets, length_sketch(sets), short_lists, short_share, block, partitions)
+    postings = short_postings(sets, length_sketch(sets), 1 - threshold if short_share is None else short_share, block, partitions)
     pairs = materialize(merge_lists(postings, threshold, partitions), "met")
     members = sets.groupBy("key").agg(F.max(F.struct("ord", "rid", "n")).alias("x")).where("x.n > 0").select("key", F.col("x.rid").alias("rid"))
     return probe(pairs, sets, threshold), members

@@ -113,6 +113,22 @@ def test_pairs_in_blocks(spark, data, similar):
     assert {tuple(r) for r in got.collect()} == similar[0]
 
 
+def test_families(spark):
+    """Two families whose shortest lists are private to each: the pairs between them are met in longer lists."""
+    common = [f"c{i}" for i in range(162)]
+    rows = []
+    for f in "ab":
+        for i in "xy":
+            rows.append((f + i, " ".join([*common, *(f"{f}{j}" for j in range(40)), f"{f}{i}1", f"{f}{i}2"])))
+    # 160 common sequences, 40 of the family, 2 that end in words of the record's own
+    sets = {k: shingles(t) for k, t in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) > 0.6 * len(sets[a] | sets[b])}
+    df = spark.createDataFrame(rows, "k string, t string").withColumn("o", F.lit(1))
+    got = near_duplicates.similar_pairs(df, "k", "t", "o", 0.6)
+    assert {tuple(r) for r in got.collect()} == want and len(want) == 6
+    assert {(r.group_id, r.links) for r in near_duplicates.groups(df, "k", "t", "o", 0.6).collect()} == {("ax", 3)}
+
+
 def test_hot_group(spark):
     """A third of all rows are one text; they are one class, and each is in one row of the groups."""
     rng = random.Random(4)
