@@ -199,6 +199,12 @@ def url_params(spark: SparkSession, directory: str) -> DataFrame:
     return rows.select("doc_id", F.url_encode("title").alias("query"))
 
 
+@plans.add()
+def url_params_all(spark: SparkSession, directory: str) -> DataFrame:
+    """Every title that isn't null; the SQL of `url_params` leaves out those with characters that engines encode differently."""
+    return read(spark, directory, "documents").where("title is not null").select("doc_id", F.url_encode("title").alias("query"))
+
+
 @plans.add("""with q as (select vec_id, embedding from embeddings where vec_id % 20 = 0),
 hits as (select q.vec_id as qid, e.vec_id, list_inner_product(q.embedding::double[], e.embedding::double[]) as score from q, embeddings e),
 top as (select * from hits qualify row_number() over (partition by qid order by score desc, vec_id) <= 3)

@@ -1,11 +1,14 @@
 """Retrieval, fusion, embedding, joins, translation, queues and sources on small cases."""
 
+from urllib.parse import quote_plus
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from larkspur.functions import json_doc, text
 from larkspur.operators import embedding, fusion, ingest, retrieval, translation, worker
+from larkspur.plans import relational
 from larkspur.sources import files, transcripts
 from larkspur.streaming import chunks, events, queue
 from larkspur.streaming.runs import run_to_end, stream_of
@@ -100,6 +103,14 @@ def test_worker(spark):
     assert {r.request_id: r.chunk_count for r in worker.processed(df, "request_id").collect()} == {1: 2, 2: 0, 3: 0}
 
 
+def test_url_params_all(spark, tmp_path):
+    """Every title is encoded as a form does it; of what quote_plus does, only * and ~ differ."""
+    titles = ["Plain title 1.2_3-4", "Reporter's Privilege (in brief)", "Añadir & más: 100 %", 'He said "no"', "a*b~c/d?e=f#g+h", "北京 🙂", "", None]
+    spark.createDataFrame(list(enumerate(titles)), "doc_id long, title string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.query for r in relational.url_params_all(spark, str(tmp_path)).collect()}
+    assert got == {i: quote_plus(t, safe="*").replace("~", "%7E") for i, t in enumerate(titles) if t is not None}
+
+
 def test_ingest(spark):
     urls = spark.createDataFrame([("u1",), ("u2",), ("u3",)], "url string")
     known = spark.createDataFrame([("u1", "t1"), ("u2", "t2")], "url string, title string")
