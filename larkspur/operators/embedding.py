@@ -61,6 +61,26 @@ def pca(df: DataFrame, vector: str, k: int, key: str) -> DataFrame:
     return rows.mapInArrow(project, f"{key} {dict(rows.dtypes)[key]}, reduced array<double>")
 
 
+def pca_by(df: DataFrame, vector: str, k: str, group: str, key: str) -> DataFrame:
+    """(group, key, reduced): `pca` of each group's vectors for itself, with the components that column k gives for the group.
+
+    A group is reduced in one task and must fit there.
+    """
+    rows = df.where(F.col(vector).isNotNull()).select(group, key, F.col(k).alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    kinds = dict(rows.dtypes)
+
+    def reduce(table: pa.Table) -> pa.Table:
+        v = table.column("v").combine_chunks()
+        flat = np.asarray(v.flatten()).reshape(len(v), -1)
+        centred = flat - flat.mean(axis=0)
+        _, _, load = np.linalg.svd(centred, full_matrices=False)
+        load = load[: table.column("k")[0].as_py()].T  # of at most min(dims, rows) components
+        load = load * np.where(load[np.abs(load).argmax(axis=0), np.arange(load.shape[1])] < 0, -1.0, 1.0)
+        return pa.table({group: table.column(group), key: table.column(key), "reduced": pa.array(list(centred @ load), pa.list_(pa.float64()))})
+
+    return rows.groupBy(group).applyInArrow(reduce, f"{group} {kinds[group]}, {key} {kinds[key]}, reduced array<double>")
+
+
 def explained(df: DataFrame, vector: str, k: int) -> list[float]:
     rows = df.where(F.col(vector).isNotNull()).select(array_to_vector(F.col(vector).cast("array<double>")).alias("x"))
     return list(PCA(k=k, inputCol="x", outputCol="y").fit(rows).explainedVariance)

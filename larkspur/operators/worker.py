@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.operators.chunking import sentence_chunks
-from larkspur.operators.embedding import pca, placeholder_embedding
+from larkspur.operators.embedding import pca_by, placeholder_embedding
 
 DEFAULT_SIZE = 1000
+DEFAULT_COMPONENTS = 256
 
 
 def size_of(column: str = "chunk_size") -> Column:
@@ -21,12 +22,17 @@ def status(messages: DataFrame) -> DataFrame:
     return messages.withColumn("status_code", F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 400).otherwise(200))
 
 
-def processed(messages: DataFrame, key: str, components: int = 256) -> DataFrame:
-    """(key, chunk_count, embedding_dimensions): chunk, embed and reduce all texts; one reduction is fitted over all chunks."""
-    chunks = sentence_chunks(messages.where(F.length("text") > 0), "text", size_of(), key)
-    embedded = chunks.select(F.concat_ws("#", key, "chunk_no").alias("id"), key, placeholder_embedding(F.col("chunk")).alias("v"))
-    reduced = pca(embedded, "v", components, "id")
-    sizes = embedded.select("id", key).join(reduced, "id").groupBy(key).agg(F.count("*").alias("chunk_count"), F.max(F.size("reduced")).alias("embedding_dimensions"))
+def processed(messages: DataFrame, key: str, components: int = DEFAULT_COMPONENTS) -> DataFrame:
+    """(key, chunk_count, embedding_dimensions): chunk, embed and reduce each message's text, to its own pca_components.
+
+    These are `components` where null, below 1 or not given, and at most the places of an embedding and the message's chunks.
+    """
+    asked = F.when(F.col("pca_components") >= 1, F.col("pca_components")).otherwise(components) if "pca_components" in messages.columns else F.lit(components)
+    chunks = sentence_chunks(messages.where(F.length("text") > 0).withColumn("k", asked), "text", size_of(), key, "k")
+    # the vectors are made where they are reduced, so only chunks are shuffled
+    embedded = chunks.repartition(key).select(key, "k", "chunk_no", placeholder_embedding(F.col("chunk")).alias("v"))
+    reduced = pca_by(embedded, "v", "k", key, "chunk_no")
+    sizes = reduced.groupBy(key).agg(F.count("*").alias("chunk_count"), F.max(F.size("reduced")).alias("embedding_dimensions"))
     return messages.select(key).distinct().join(sizes, key, "left").select(key, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("chunk_count", "embedding_dimensions")])
 
 

@@ -4,6 +4,7 @@ from urllib.parse import quote_plus
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import json_doc, text
@@ -103,6 +104,26 @@ def test_worker(spark):
     assert {r.request_id: r.chunk_count for r in worker.processed(df, "request_id").collect()} == {1: 2, 2: 0, 3: 0}
 
 
+def test_worker_components(spark):
+    """Each message is reduced for itself, to the components it asks for."""
+    five = "One. Two. Three. Four. Five."
+    rows = [(1, five, 5, 2), (2, five, 5, None), (3, five, 5, 0), (4, five, 5, 64), (5, "One.", 5, 128), (6, "", 5, 2)]
+    df = spark.createDataFrame(rows, "request_id long, text string, chunk_size int, pca_components int")
+    got = {r.request_id: (r.chunk_count, r.embedding_dimensions) for r in worker.processed(df, "request_id").collect()}
+    assert got == {1: (5, 2), 2: (5, 5), 3: (5, 5), 4: (5, 5), 5: (1, 1), 6: (0, 0)}
+
+
+def test_pca_by(spark):
+    """A group's reduction is that of the group alone."""
+    draw = np.random.default_rng(3)
+    rows = [(g, i, 2 + g, [float(x) for x in draw.normal(size=4) * [8, 4, 2, 1]]) for g in range(2) for i in range(6)]
+    df = spark.createDataFrame(rows, "g int, i int, k int, v array<double>")
+    got = {(r.g, r.i): r.reduced for r in embedding.pca_by(df, "v", "k", "g", "i").collect()}
+    for g in range(2):
+        alone = {r.i: r.reduced for r in embedding.pca(df.where(F.col("g") == g), "v", 2 + g, "i").collect()}
+        assert all(got[g, i] == pytest.approx(alone[i], abs=1e-6) and len(alone[i]) == 2 + g for i in range(6))
+
+
 def test_url_params_all(spark, tmp_path):
     """Every title is encoded as a form does it; of what quote_plus does, only * and ~ differ."""
     titles = ["Plain title 1.2_3-4", "Reporter's Privilege (in brief)", "Añadir & más: 100 %", 'He said "no"', "a*b~c/d?e=f#g+h", "北京 🙂", "", None]
