@@ -7,7 +7,8 @@ labels from plain patterns, then once more with the model's own labels (one step
 lines are labelled by Viterbi. Lines between the first and last `edge` lines of a page are body and one step of the chain.
 
 Words divided over two lines are joined where the joined word, or one part of it, shows that they are one word.
-Misread words are those that turn into a much commoner word of the corpus when one confusion of a scanner is undone.
+Misread words are those that turn into a much commoner word of the corpus when one confusion of a scanner is undone; of
+two-letter words only those with a digit, ! or |.
 
 What is broadcast has a fixed size: bit tables (4 MB recurring lines, 1 MB misread words) and the model's tables.
 
@@ -40,6 +41,7 @@ LINE_BITS, WORD_BITS = 25, 23
 # What a scanner reads for what is printed.
 CONFUSIONS = {"c": "e", "0": "o", "5": "s", "!": "i", "1": "l", "cl": "d", "d": "cl", "|": "l", "9": "g", "b": "h", "rn": "m", "n": "ri", "vv": "w", "h": "li", "lt": "tt", "m": "rn", "6": "b", "8": "b"}
 ALSO = {"1": "i", "!": "l", "|": "i"}
+MARKS = "0123456789!|"
 
 _STRONG = r"(?:[pP][aA][gG][eE]\s+[\dlIOo|!S]+(?:\s+of\s+\d+)?|[-–—]\s*\d+\s*[-–—]|\[\s*\d+\s*\]|p\.\s*\d+|\d+\s*/\s*\d+|\d+\s+of\s+\d+)"
 STRONG = re.compile(rf"^\s*{_STRONG}\s*$")
@@ -277,7 +279,7 @@ def misread_words(words: DataFrame) -> DataFrame:
         for batch in batches:
             word, n, form = [], [], []
             for w, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if len(w) >= 3 and any(c.isalpha() for c in w):
+                if (len(w) >= 3 or len(w) == 2 and any(c in MARKS for c in w)) and any(c.isalpha() for c in w):
                     for f in restored(w):
                         word.append(w)
                         n.append(k)

@@ -85,6 +85,16 @@ def test_page(spark):
     assert text == f"On page 2 {sentence} a certified copy of the release in Tamselport, where the auditor said so again."
 
 
+def test_two_letter_misreads(spark):
+    rows = [("a", "This is what the panel read 0N shield statutes in the spring session."), ("b", "This is what the panel gave t0 the editor in the spring session."), ("c", "This is what the panel wrote as draft v2 in the spring session.")]
+    rows += [(f"d{i}", f"Notes on the guide to prior restraint, as given to editor number {i} on shield statutes.") for i in range(10)]
+    df = spark.createDataFrame(rows, "chunk_id string, page_content string").selectExpr("*", "'T' as title", "'pdf' as type", "'s' as source", "timestamp'2024-01-01' as ingested_at")
+    got = {(r.chunk_id, r.a, r.b) for r in scan_noise.findings(df)[1].where("noise_kind = 'misread'").collect()}
+    assert got == {("a", "0n", "on"), ("b", "t0", "to")}
+    text = {r.chunk_id: r.text for r in scan_noise.repaired(df).collect()}
+    assert "read ON shield" in text["a"] and "gave to the" in text["b"] and "v2" in text["c"]
+
+
 # 4
 
 
