@@ -1,10 +1,11 @@
 """Noise in text from scanned pages: lines labelled by a hidden Markov model, words checked against the corpus.
 
-Each line of a page is one of header, page number, both in one line, body or break. Its features are its place on
+Each line at a page's edges is one of header, page number, both in one line, or body. Its features are its place on
 the page, its form, case, length and end, whether it recurs at the edges of the same source's pages, and whether it
 is the page's title. Emission and transition tables are counted over a sample of about `train_pages` pages, first with
 labels from plain patterns, then once more with the model's own labels (one step of Viterbi training); then all pages'
-lines are labelled by Viterbi. Lines between the first and last `edge` lines of a page are body and one step of the chain.
+lines are labelled by Viterbi. Lines between the first and last `edge` lines of a page are body and left out of the chain;
+paragraphs are put together by rules of length and form, so there is no state for breaks.
 
 Words divided over two lines are joined where the joined word, or one part of it, shows that they are one word.
 Misread words are those that turn into a much commoner word of the corpus when one confusion of a scanner is undone; of
@@ -34,8 +35,8 @@ from larkspur.llm.bits import bit_table, slots, unpacked
 from larkspur.session import materialize
 from larkspur.tables import latest
 
-STATES = ("header", "number", "both", "body", "break")
-H, N, B, T, K = range(5)
+STATES = ("header", "number", "both", "body")
+H, N, B, T = range(4)
 LINE_BITS, WORD_BITS = 25, 23
 
 # What a scanner reads for what is printed.
