@@ -33,7 +33,7 @@ WORD_BITS = 23
 LONGEST_WORD = 64
 # The encodings of the chains.
 READ_AS = ["cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "cp1254", "cp1257", "cp437", "cp850", "cp852", "cp866", "mac_roman", "iso8859-2", "iso8859-15", "koi8-r"]
-WRITTEN_IN = ["cp1252", "cp1250", "mac_roman", "cp437", "cp850"]
+WRITTEN_IN = list(dict.fromkeys(["cp1252", "cp1250", "mac_roman", "cp437", "cp850", *READ_AS]))
 TWICE = ["cp1252", "latin-1", "mac_roman", "cp437", "cp1250", "cp1251"]
 
 RUN = re.compile(r"[A-Za-z]*[^\x00-\x7f][A-Za-z\x80-\U0010ffff]*")

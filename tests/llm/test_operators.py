@@ -253,5 +253,13 @@ def test_garbled_round_trip(spark):
     assert got[112] == "Plain text, as it was." and "añadió" in got[113]
 
 
+@pytest.mark.parametrize("written", ["iso8859-2", "cp852"])
+def test_garbled_polish(spark, written):
+    text = "Książka została zamknięta, jaśniej: wejście od północy"
+    rows = [(i, text) for i in range(20)] + [(50, garbled.read_as(text.encode(written), "cp1252"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in garbled.restored(df).collect()} == {50: text}
+
+
 def test_registered_names():
     assert {f"p{n}" for n in range(1, 9)} == {name.split("_")[0] for name in queries.queries()}
