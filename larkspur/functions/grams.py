@@ -96,3 +96,25 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     which, value = (packed >> np.uint64(32)).astype(np.int64), packed.astype(np.uint32)
     cuts = np.searchsorted(which, np.arange(len(texts) + 1))
     return [value[cuts[i] : cuts[i + 1]] for i in range(len(texts))]
+
+
+def sequence_hashes(texts: list[str | None], width: int) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its sequences of `width` words.
+
+    A text of fewer words has no sequence and gets an empty set. Batches of some 100 texts keep the arrays in a core's cache.
+    """
+    w, of = words(texts)
+    n = len(w) - width + 1
+    if n <= 0:
+        return [np.zeros(0, np.uint64)] * len(texts)
+    h = w[:n].copy()
+    for k in range(1, width):
+        h = mix(h * np.uint64(_BASE) + w[k : k + n])
+    whole = of[:n] == of[width - 1 :]
+    h, of = h[whole], of[:n][whole]
+    cuts = np.searchsorted(of, np.arange(len(texts) + 1))
+    out = []
+    for i in range(len(texts)):
+        s = np.sort(h[cuts[i] : cuts[i + 1]])
+        out.append(s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s)
+    return out
