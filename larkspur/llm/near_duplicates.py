@@ -68,9 +68,9 @@ def source_rows(df: DataFrame, key: str, text: str, order: str) -> DataFrame:
 
 
 def sketch_bits(rows: DataFrame) -> int:
-    """A slot for about four sequences of the text (six characters a word), at most 2**24."""
+    """A slot for about 16 sequences of the text (six characters a word), of which many are repeated; at most 2**24."""
     length = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    return min(24, max(16, math.ceil(math.log2(length / 24 + 1))))
+    return min(24, max(16, math.ceil(math.log2(length / 96 + 1))))
 
 
 def _slots(tokens: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -392,10 +392,12 @@ def class_pairs(df: DataFrame, key: str, text: str, order: str, threshold: float
     bits = sketch_bits(rows)
     read = materialize(read_sets(rows, width, bits), "sets")
     sketch = length_sketch(read, bits)
-    total = read.agg(F.sum("n")).first()[0] or 0
+    total, count = read.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     block = max(block, 4 * total // (1 << bits))
-    postings = total * (1 - threshold) * (_POSTING + _DOC.itemsize)
-    partitions = max(spark.sparkContext.defaultParallelism, math.ceil(postings / PART_BYTES))
+    # a record goes once to each part that has postings of it
+    least = spark.sparkContext.defaultParallelism
+    postings = total * (1 - threshold)
+    partitions = max(least, math.ceil((postings * _POSTING + _DOC.itemsize * min(postings, count * least)) / PART_BYTES))
     pairs = materialize(merge_lists(short_postings(rows, width, sketch, bits, threshold, block, partitions), threshold, partitions), "met")
     members = read.where("key is not null").groupBy("key").agg(F.max(F.struct("ord", "id", "n")).alias("x")).where("x.n > 0").select("key", F.col("x.id").alias("id"), F.col("x.n").alias("n"))
     members = materialize(members, "members")
