@@ -1,15 +1,20 @@
 """Text cut off by field limits, by a backward character n-gram model.
 
-For the last characters c of a value (or of a line that ends a paragraph) the model compares how often texts end
-after c with how often they go on after c: log-odds = log P(c | end) - log P(c | going on). It is trained on all
-values of the same column and language: contexts of 7, 5, 3, 2 and 1 characters, backed off to the longest with
-enough support, the value's own end left out. The log-odds are measured against that language's and column's own
-rates, so one threshold holds for all: an end must be e**2 times likelier than going on. Counts live in tables of fixed size (about 23 MB).
+The model reads the last characters of a value (or of a line in it) backward, once as the end of a text and once as a place
+where text goes on, and their log-odds tell which of the two it looks like. Both sides are counted over all values of the
+same column and language, characters in steps to 1, 2, 3, 5 and 7; each step's probability at ends is smoothed towards that of
+going on, so an unseen end tells nothing, and a value's own end is left out. What ends a line in the way of a title, list item, link,
+signature or field, or stands on a line of its own, is a class of ends by itself: it is compared with ends of its form, and
+with the going on of all text. So a form doesn't decide; a list item cut short is unlike the items' ends.
 
-What follows is exact: an explicit mark of cutting (an ellipsis, half an entity, half a character) is taken off before
-the context is read, and a last line that is a heading, list item, link, signature, field or remark in brackets is whole by its form,
-and one with a sentence's end is whole. Only ends that such forms don't explain train the model.
-Running headers and page numbers of scanned pages are set aside, and lines wrapped to a width are one line.
+Ends that were cut can't look more like ends than other text does, so they make a hump of low log-odds of their own. The
+threshold lies in the valley beside it, found for each column and language in the histogram of all its log-odds. An explicit mark of
+cutting is taken off before the end is read and counts as evidence beside it: an ellipsis MARKED, half a character or entity BROKEN.
+
+Running headers and page numbers of scanned pages are set aside. Their lines are wrapped to a width and have page breaks
+between them, so of such a page only the end counts.
+
+Counts are 64-bit, in tables whose sizes follow the amount of text up to about 80 MB.
 
 Defined results: null, empty and blank values are not cut; rows without key are dropped; a key that occurs again
 counts once, with its latest row. Other columns are ignored.
@@ -17,13 +22,14 @@ counts once, with its latest row. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.grams import code_points, prefix_hash, span_hash
@@ -31,59 +37,62 @@ from larkspur.llm.scan_noise import BARE, BOTH, ROMAN, STRONG
 from larkspur.session import materialize
 from larkspur.tables import latest
 
-ORDERS = {7: 20, 5: 20, 3: 18, 2: 18, 1: 18}  # context length: bits of its table
-SEGMENT = 1 << 16
+ORDERS = {1: 16, 2: 17, 3: 19, 5: 21, 7: 21}  # context length: bits of its table, at most
+SMOOTHING = 4.0
+MARKED, BROKEN = 2.0, 8.0
+LOW, HIGH, STEP = -4.0, 4.0, 0.25  # bins of the histogram
+ENOUGH = 1000  # ends a language must have for a threshold of its own; else its column's is used
+SEGMENT = 1 << 15
 LANGUAGES = {"en": "en", "eng": "en", "es": "es", "spa": "es", "fr": "fr", "fra": "fr", "fre": "fr", "de": "de", "deu": "de", "ger": "de", "pt": "pt", "por": "pt", "pl": "pl", "pol": "pl"}
 GROUPS = ["und", "en", "es", "fr", "de", "pt", "pl", "other"]
+FORMS = ["prose", "title", "item", "link", "signature", "field", "own line"]
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 MARK = re.compile(r"(?:\s*(?:…|\.\.\.|\[\s*(?:\.\.\.|…)\s*\]|\((?:more|continued)\)|�+|&#?\w{0,6}))+\s*$")
 STRONG_MARK = re.compile(r"(?:�|&#?\w{0,6})\s*$")
 END = re.compile(r"[.!?][\"”’»')\]]*\s*$")
-LINK = re.compile(r"(?:https?://|www\.)\S+[\w/]$")
+BOUNDARY = re.compile(r"(?<=[.!?])[\"”’»')\]]*\s+(?=\S)")
+LINK = re.compile(r"(?:https?://|www\.)\S+")
 ITEM = re.compile(r"^\s*(?:[-*•‣]|\d+[.)]|\(?[a-z]\))\s+\S")
 SIGNED = re.compile(r"^\s*[—–]\s*[^\W\d_]")
 FIELD = re.compile(r"^\s*[^\W\d_][\w ]{1,20}:\s+(.*)$")
-SHORT_LIST = re.compile(r"^[\w'’-]+(?: [\w'’-]+){0,2}(?:, [\w'’-]+(?: [\w'’-]+){0,2})*$")
-REMARK = re.compile(r"[.!?][\"”’»')\]]*\s+\([^()]{8,}\)$")
-LABELLED = re.compile(r"^\s*(?:chapter|section|part|appendix|fy ?\d+|contents|fees for|bring with)\b", re.IGNORECASE)
+DIGIT = re.compile(r"\d")
 
 
 def is_title(line: str) -> bool:
     """Capitals at most of the longer words, or at all of them."""
     line = re.sub(r",?\s+no\.\s*\S+", "", line)
-    words = [w for w in re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)*", line) if len(w) > 3]
-    return bool(words) and len(line) < 120 and (line.upper() == line or sum(w[0].isupper() for w in words) >= 0.6 * len(words) and not re.search(r"[.!?,;] ", line))
-
-
-def is_number(line: str) -> bool:
-    return bool(STRONG.match(line) or BARE.match(line) or ROMAN.match(line))
+    words = [w for w in re.findall(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*", line) if len(w) > 3]
+    return bool(words) and len(line) < 120 and (line.upper() == line or sum(w[0].isupper() for w in words) >= 0.8 * len(words) and not re.search(r"[.!?,;] ", line))
 
 
 def is_furniture(line: str) -> bool:
     """A page number or running header."""
-    return is_number(line) or bool(BOTH.match(line)) or is_title(line.strip()) and not END.search(line)
-
-
-def is_whole(line: str, marked: bool) -> bool:
-    """Whether a line (without its mark of cutting) is complete: a sentence's end, or, without such a mark, a complete form."""
-    x = line.strip()
-    if not x or END.search(x) or REMARK.search(x):
-        return True
-    if is_number(x) or BOTH.match(x) or LINK.search(x) or SIGNED.match(x) and len(x) < 80:
-        return not marked
-    m = FIELD.match(x)
-    if m and len(x) < 100 and (SHORT_LIST.match(m[1]) or is_title(m[1]) or re.match(r"^[\dhms :./-]+$", m[1])):
-        return not marked
-    part = re.split(r"(?<=[.!?])\s+(?=\S)", x)[-1]
-    if ITEM.match(x) and len(x) < 90 or LABELLED.match(x) and len(x) < 40 or LABELLED.match(part) and len(part) < 30:
-        return not marked
-    return is_title(x) and not marked
-
-
-def line_ends(text: str) -> list[str]:
-    """The stretches of a text whose ends count: lines or, on pages wrapped to a width, paragraphs; page furniture left out."""
-    lines = text.split("\n")
-    full = [x for x in lines if x.strip()]
+    return bool(STRONG.match(line) or BARE.match(line) or ROMAN.match(line) or BOTH.match(line)) or is_title(line.strip()) and not END.search(line)
+
+
+def form(part: str, own_line: bool) -> int:
+    """The class of ends that a text's last part belongs to."""
+    x = part.strip()
+    if END.search(x):
+        return 0
+    if (m := LINK.search(x)) and m.end() == len(x):
+        return 3
+    if SIGNED.match(x) and len(x) < 80:
+        return 4
+    if ITEM.match(x) and len(x) < 90:
+        return 2
+    if FIELD.match(x) and len(x) < 100:
+        return 5
+    if is_title(x):
+        return 1
+    return 6 if own_line and len(x) < 60 else 0
+
+
+def line_ends(text: str) -> list[tuple[str, bool]]:
+    """(stretch, whether it is one of several lines) of a text whose ends count: lines, or a page wrapped to a width; page furniture left out."""
+    full = [x for x in text.split("\n") if x.strip()]
+    several = len(full) > 1
     while len(full) > 1 and is_furniture(full[-1]):
         full.pop()
     while len(full) > 1 and is_furniture(full[0]):
@@ -92,11 +101,21 @@ def line_ends(text: str) -> list[str]:
         return []
     width = max(len(x) for x in full)
     if width > 130 or len(full) <= 2:
-        return [x.strip() for x in full]
-    joined = " ".join(x.strip() for x in full)  # a wrapped page: only its end counts
-    if ITEM.match(full[-1]) or SIGNED.match(full[-1]) or FIELD.match(full[-1]) or LINK.search(full[-1]):
-        return [full[-1].strip()]
-    return [joined]
+        return [(x.strip(), several) for x in full]
+    last = full[-1].strip()
+    if END.search(full[-2]) or ITEM.match(last) or SIGNED.match(last) or FIELD.match(last) or LINK.search(last):
+        return [(last, True)]
+    return [(" ".join(x.strip() for x in full), False)]
+
+
+def end_of(stretch: str, several: bool) -> tuple[str, int, bool, bool]:
+    """(characters as the model reads them, class, marked, broken) of a stretch; marks of cutting are taken off."""
+    m = MARK.search(stretch)
+    cut = stretch[: m.start()].rstrip() if m else stretch
+    last = BOUNDARY.split(cut[-400:])[-1]
+    kind = 0 if m or len(last) == 400 else form(last, several and len(last) == len(cut))
+    read = LINK.sub("\x03", cut) if "http" in cut or "www." in cut else cut
+    return DIGIT.sub("0", read.lower()), kind, bool(m), bool(m and STRONG_MARK.search(stretch))
 
 
 def values(chunks: DataFrame, results: DataFrame) -> DataFrame:
@@ -115,53 +134,57 @@ def _seed(table: str, grp: str) -> int:
     return GROUPS.index(grp) * 2 + (table == "chunks")
 
 
-def _contexts(stretches: list[str], seeds: list[int]) -> tuple[np.ndarray, np.ndarray, dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """For each order: (end positions, slots, whether a stretch ends there) of all characters of all stretches."""
-    # two characters that occur nowhere else stand before each stretch, so that its beginning can be seen
+def sizes_for(characters: int) -> dict[int, int]:
+    """Slots of each order's table."""
+    return {k: 1 << min(most, max(12, math.ceil(math.log2(characters / 32 + 1)))) for k, most in ORDERS.items()}
+
+
+def _slots(h: np.ndarray, size: int) -> np.ndarray:
+    return ((h ^ (h >> np.uint64(29))) & np.uint64(size - 1)).astype(np.int64)
+
+
+def _laid_out(stretches: list[str], seeds: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(prefix hash, begin of each character's stretch, seed of each, end positions); a sign that occurs nowhere else stands before each stretch."""
     points = [np.concatenate([np.full(1, 2, np.uint32), code_points(s)]) for s in stretches]
     lengths = np.array([len(p) for p in points], dtype=np.int64)
-    all_points = np.concatenate(points)
     ends = np.cumsum(lengths)
-    begin = np.repeat(ends - lengths, lengths)
-    seed = np.repeat(np.array(seeds, dtype=np.uint64), lengths)
-    last = np.zeros(len(all_points), dtype=bool)
-    last[ends - 1] = True
-    prefix = prefix_hash(all_points)
-    at = np.arange(len(all_points))
-    out = {}
-    for k, bits in ORDERS.items():
-        start = np.maximum(begin, at - k + 1)
-        h = span_hash(prefix, start, at + 1) + seed * np.uint64(0x9E3779B97F4A7C15)
-        out[k] = ((h ^ (h >> np.uint64(29))) & np.uint64((1 << bits) - 1)).astype(np.int64)
-    return ends - 1, last, out
+    return prefix_hash(np.concatenate(points)), np.repeat(ends - lengths, lengths), np.repeat(np.array(seeds, dtype=np.uint64), lengths), ends - 1
+
+
+def _going_on(prefix: np.ndarray, begin: np.ndarray, seed: np.ndarray, at: np.ndarray, k: int, size: int) -> np.ndarray:
+    return _slots(span_hash(prefix, np.maximum(begin[at], at - k + 1), at + 1) + seed[at] * _GOLD, size)
+
+
+def _ending(prefix: np.ndarray, begin: np.ndarray, seed: np.ndarray, at: np.ndarray, kinds: np.ndarray, k: int, size: int) -> np.ndarray:
+    return _slots(span_hash(prefix, np.maximum(begin[at], at - k + 1), at + 1) + (seed[at] * np.uint64(len(FORMS)) + kinds + np.uint64(1000)) * _GOLD, size)
+
+
+def _read(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """(index, table, group, number of the end, ends, what end_of tells) of each end in a batch."""
+    for i, (table, grp, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("table_name", "grp", "text")), strict=True)):
+        for stretch, several in line_ends(text) if text else []:
+            yield i, _seed(table, grp), end_of(stretch, several)
 
 
 def train(vals: DataFrame) -> dict[int, np.ndarray]:
-    """For each order uint32[2, slots]: how often texts go on after, and end after, a context. Totals are those of order 0."""
-    sizes = {k: 1 << b for k, b in ORDERS.items()} | {0: 64}
+    """For each order int64[2, slots]: how often texts go on after, and end after, a context. Totals are those of order 0."""
+    sizes = sizes_for(vals.agg(F.sum(F.length("text"))).first()[0] or 0) | {0: 256}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = {k: np.zeros((2, n), dtype=np.uint32) for k, n in sizes.items()}
+        tables = {k: np.zeros((2, n), dtype=np.int64) for k, n in sizes.items()}
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                stretches, seeds, final = [], [], []
-                for table, grp, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                    got = line_ends(text) if text else []
-                    stretches += got
-                    seeds += [_seed(table, grp)] * len(got)
-                    if got:
-                        final += [False] * (len(got) - 1) + [END.search(got[-1]) is not None or not is_whole(got[-1], False)]
-                if not stretches:
+            for at in range(0, batch.num_rows, 200):
+                got = [x for x in _read(batch.slice(at, 200)) if x[2][0]]
+                if not got:
                     continue
-                ends, last, slots = _contexts(stretches, seeds)
-                ended = ends[np.array(final)]
-                for k, s in slots.items():
-                    tables[k][0] += np.bincount(s[~last], minlength=sizes[k]).astype(np.uint32)
-                    tables[k][1] += np.bincount(s[ended], minlength=sizes[k]).astype(np.uint32)
-                lengths = np.diff(np.concatenate([[-1], ends]))
-                tables[0][0] += np.bincount(seeds, weights=lengths, minlength=64).astype(np.uint32)
-                tables[0][1] += np.bincount(np.array(seeds)[np.array(final)], minlength=64).astype(np.uint32)
+                kinds = np.array([x[2][1] for x in got], dtype=np.uint64)
+                prefix, begin, seed, ends = _laid_out([x[2][0] for x in got], [x[1] for x in got])
+                inner = np.delete(np.arange(len(begin)), ends)
+                for k in ORDERS:
+                    np.add.at(tables[k][0], _going_on(prefix, begin, seed, inner, k, sizes[k]), 1)
+                    np.add.at(tables[k][1], _ending(prefix, begin, seed, ends, kinds, k, sizes[k]), 1)
+                tables[0][0] += np.bincount(seed[inner].astype(np.int64), minlength=256)
+                tables[0][1] += np.bincount((seed[ends] * np.uint64(len(FORMS)) + kinds).astype(np.int64), minlength=256)
         rows = [(k, i, j, zlib.compress(t[i, j : j + SEGMENT].tobytes(), 1)) for k, t in tables.items() for i in (0, 1) for j in range(0, t.shape[1], SEGMENT) if t[i, j : j + SEGMENT].any()]
         cols = list(zip(*rows, strict=True)) or [[]] * 4
         yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["k", "i", "j", "raw"])
@@ -170,70 +193,104 @@ def train(vals: DataFrame) -> dict[int, np.ndarray]:
         total: dict[tuple, np.ndarray] = {}
         for batch in batches:
             for *key, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                one = np.frombuffer(zlib.decompress(raw), dtype=np.uint32).astype(np.uint64)
+                one = np.frombuffer(zlib.decompress(raw), dtype=np.int64)
                 total[tuple(key)] = total[tuple(key)] + one if tuple(key) in total else one
         for key, one in total.items():
-            raw = zlib.compress(np.minimum(one, 2**32 - 1).astype(np.uint32).tobytes(), 1)
+            raw = zlib.compress(one.tobytes(), 1)
             yield pa.record_batch([*(pa.array([x], pa.int32()) for x in key), pa.array([raw], pa.binary())], names=["k", "i", "j", "raw"])
 
     schema = "k int, i int, j int, raw binary"
     counted = vals.select("table_name", "grp", "text").mapInArrow(count, schema)
-    tables = {k: np.zeros((2, n), dtype=np.uint32) for k, n in sizes.items()}
-    for k, i, j, raw in counted.repartition(16, "k", "i", "j").mapInArrow(add, schema).collect():  # at most 86 segments of fixed size
-        one = np.frombuffer(zlib.decompress(raw), dtype=np.uint32)
+    tables = {k: np.zeros((2, n), dtype=np.int64) for k, n in sizes.items()}
+    for k, i, j, raw in counted.repartition(16, "k", "i", "j").mapInArrow(add, schema).collect():  # tables of bounded size
+        one = np.frombuffer(zlib.decompress(raw), dtype=np.int64)
         tables[k][i, j : j + len(one)] = one
     return tables
 
 
-def scored(vals: DataFrame, support: int = 200) -> DataFrame:
-    """(table_name, record_key, origin, grp, line, log_odds, marked, whole): one row per end that counts, the value's own end last."""
-    shared = vals.sparkSession.sparkContext.broadcast(train(vals))
+def log_odds(tables: dict[int, np.ndarray], ends: list[tuple[str, int, int]]) -> np.ndarray:
+    """For ends (characters, seed, class) that were trained on: how much likelier they are as ends than as places where text goes on."""
+    prefix, begin, seed, at = _laid_out([x[0][-12:] if len(x[0]) > 12 else x[0] for x in ends], [x[1] for x in ends])
+    kinds = np.array([x[2] for x in ends], dtype=np.uint64)
+    # the shortened beginning isn't one: no order reaches it
+    own = np.array([1 if x[0] else 0 for x in ends])
+    ended = tables[0][1][(seed[at] * np.uint64(len(FORMS)) + kinds).astype(np.int64)] - own
+    went_on = tables[0][0][seed[at].astype(np.int64)]
+    out = np.zeros(len(ends))
+    for k in ORDERS:
+        size = tables[k].shape[1]
+        e = tables[k][1][_ending(prefix, begin, seed, at, kinds, k, size)] - own
+        o = tables[k][0][_going_on(prefix, begin, seed, at, k, size)]
+        on = (o + 0.5) / (went_on + (15.0 if k == 1 else 2.0))
+        out += np.log((np.maximum(e, 0) + SMOOTHING * on) / (np.maximum(ended, 0) + SMOOTHING) / on)
+        ended, went_on = e, o
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = shared.value
-        for batch in batches:
-            rows, stretches, seeds = [], [], []
-            for table, key, origin, grp, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                got = line_ends(text) if text else []
-                for i, s in enumerate(got):
-                    m = MARK.search(s)
-                    cut = s[: m.start()].rstrip() if m else s
-                    rows.append((table, key, origin, grp, i, i == len(got) - 1, bool(m), bool(m and STRONG_MARK.search(s)), is_whole(cut, bool(m))))
-                    stretches.append(cut[-12:] if len(cut) > 12 else cut)
-                    seeds.append(_seed(table, grp))
-            odds = np.zeros(len(rows))
-            if rows:
-                ends, _, slots = _contexts(stretches, seeds)
-                own = np.array([r[5] and not r[6] for r in rows], dtype=np.float64)
-                seed = np.array(seeds)
-                base = np.log((tables[0][1][seed] + 1.0) / (tables[0][0][seed] + 1.0))
-                done = np.zeros(len(rows), dtype=bool)
-                for k in ORDERS:
-                    at = slots[k][ends]
-                    on, end = tables[k][0][at].astype(np.float64), tables[k][1][at] - own
-                    end = np.maximum(end, 0)
-                    use = ~done & ((on + end >= support) | (k == 1))
-                    ratio = np.log((end + 2 * np.exp(base)) / (on + 2)) - base
-                    odds[use] = ratio[use]
-                    done |= use
-            cols = list(zip(*[(*r[:5], float(o), *r[6:]) for r, o in zip(rows, odds.tolist(), strict=True)], strict=True)) or [[]] * 9
-            kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.float64(), pa.bool_(), pa.bool_(), pa.bool_())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["table_name", "record_key", "origin", "grp", "line", "log_odds", "marked", "broken", "whole"])
 
-    return vals.mapInArrow(run, "table_name string, record_key string, origin string, grp string, line int, log_odds double, marked boolean, broken boolean, whole boolean")
+SCORED = "table_name string, record_key string, origin string, grp string, lowest double, bin int, n long"
+
 
+def scored(vals: DataFrame, tables: dict[int, np.ndarray] | None = None) -> DataFrame:
+    """(table_name, record_key, origin, grp, lowest, bin, n): a row per record with the lowest log-odds of its ends, marks taken into account.
 
-def cut_records(chunks: DataFrame, results: DataFrame, threshold: float = 2.0, marked: float = 4.0) -> tuple[DataFrame, DataFrame]:
+    Rows with a bin are parts of the histograms, of n ends each.
+    """
+    shared = vals.sparkSession.sparkContext.broadcast(train(vals) if tables is None else tables)
+    bins = round((HIGH - LOW) / STEP)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2 * len(GROUPS), bins), dtype=np.int64)
+        names = [x.split()[0] for x in SCORED.split(", ")]
+        for batch in batches:
+            got = list(_read(batch))
+            if not got:
+                continue
+            odds = log_odds(shared.value, [(x[2][0], x[1], x[2][1]) for x in got])
+            np.add.at(counts, (np.array([x[1] for x in got]), np.clip(np.floor((odds - LOW) / STEP), 0, bins - 1).astype(int)), 1)
+            odds -= MARKED * np.array([x[2][2] for x in got]) + BROKEN * np.array([x[2][3] for x in got])
+            at, first = np.unique([x[0] for x in got], return_index=True)
+            part = batch.select(["table_name", "record_key", "origin", "grp"]).take(pa.array(at, pa.int64()))
+            yield pa.record_batch([*part.columns, pa.array(np.minimum.reduceat(odds, first)), pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.int64())], names=names)
+        seeds, bin_ = np.nonzero(counts)
+        tabled, grp = ["chunks" if s % 2 else "search_results" for s in seeds], [GROUPS[s // 2] for s in seeds]
+        none = pa.nulls(len(seeds), pa.string())
+        yield pa.record_batch([pa.array(tabled, pa.string()), none, none, pa.array(grp, pa.string()), pa.nulls(len(seeds), pa.float64()), pa.array(bin_, pa.int32()), pa.array(counts[seeds, bin_])], names=names)
+
+    return vals.select("table_name", "record_key", "origin", "grp", "text").mapInArrow(run, SCORED)
+
+
+def valley(counts: np.ndarray) -> float:
+    """The threshold: where the histogram, smoothed the wider the fewer ends it has, is lowest around 0; the middle of the lowest bins."""
+    middle = LOW + STEP * (np.arange(len(counts)) + 0.5)
+    wide = max(STEP, 4.0 * max(1, counts.sum()) ** -0.2)  # the usual rule for a density estimate, with a spread of about 4
+    smooth = np.exp(-0.5 * ((middle[:, None] - middle) / wide) ** 2) @ counts
+    near = (middle > -2.5) & (middle < 2)
+    low = middle[near][smooth[near] <= smooth[near].min()]
+    return float(low[np.abs(low).argmin()])
+
+
+def thresholds(histogram: DataFrame) -> dict[tuple[str, str], float]:
+    """For each column and language, from rows (table_name, grp, bin, n)."""
+    counts: dict[tuple[str, str], np.ndarray] = {}
+    for r in histogram.groupBy("table_name", "grp", "bin").agg(F.sum("n").alias("n")).collect():  # at most 16 histograms
+        counts.setdefault((r["table_name"], r["grp"]), np.zeros(round((HIGH - LOW) / STEP), dtype=np.int64))[r["bin"]] = r["n"]
+    whole = {t: sum(c for (u, _), c in counts.items() if u == t) for t, _ in counts}
+    return {(t, g): valley(c if c.sum() >= ENOUGH else whole[t]) for (t, g), c in counts.items()}
+
+
+def cut_records(chunks: DataFrame, results: DataFrame, tables: dict[int, np.ndarray] | None = None) -> tuple[DataFrame, DataFrame]:
     """(values, cut): all records, and (table_name, record_key, origin) of those with a cut end."""
     vals = materialize(values(chunks, results), "values")
-    # a mark of cutting speaks for a cut by itself
-    cut = (F.col("log_odds") < F.when(F.col("marked"), marked).otherwise(threshold)) & ~F.col("whole") | F.col("broken")
-    return vals, scored(vals).where(cut).select("table_name", "record_key", "origin").distinct()
+    got = materialize(scored(vals, tables), "scored")
+    limit: Column = F.lit(0.0)
+    for (table, grp), threshold in thresholds(got.where("bin is not null")).items():
+        limit = F.when((F.col("table_name") == table) & (F.col("grp") == grp), threshold).otherwise(limit)
+    return vals, got.where(F.col("lowest") < limit).select("table_name", "record_key", "origin")
 
 
-def cut_rates(chunks: DataFrame, results: DataFrame, threshold: float = 2.0) -> DataFrame:
+def cut_rates(chunks: DataFrame, results: DataFrame) -> DataFrame:
     """(table_name, origin, records, cut_records, cut_share): by source_method for chunks, by client for search_results. Null origins are a group."""
-    vals, cut = cut_records(chunks, results, threshold)
+    vals, cut = cut_records(chunks, results)
     total = vals.groupBy("table_name", "origin").agg(F.count("*").alias("records"))
     some = cut.groupBy("table_name", "origin").agg(F.count("*").alias("cut_records")).select(F.col("table_name").alias("t"), F.col("origin").alias("o"), "cut_records")
     both = total.join(some, (total.table_name == some.t) & total.origin.eqNullSafe(some.o), "left")

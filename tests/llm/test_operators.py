@@ -16,15 +16,15 @@ from larkspur.tables import latest, read
 # 1
 
 
-def test_cut_at_random(spark, data):
-    """Whole texts cut at random inside a sentence are found, and texts left whole are not."""
+def some_cut(spark, data, lists):
+    """Texts, and lists if wanted, a tenth of the texts cut at random inside a sentence."""
     rng = random.Random(1)
     chunks = latest(read(spark, data.replace("0.001", "0.01"), "chunks"), "chunk_id", ["ingested_at"], ["source_method", "language", "page_content", "type"]).collect()
-    whole = [r for r in chunks if r.page_content and "\n" not in r.page_content and r.page_content.endswith(".")]
+    whole = [r for r in chunks if r.page_content and ("\n" not in r.page_content and r.page_content.endswith(".") or lists and re.search(r"\n\s*[-*•] [^\n]{4,60}$", r.page_content))]
     rows, cut = [], set()
     for i, r in enumerate(whole):
         text = r.page_content
-        if i % 10 == 0:
+        if i % 10 == 0 and text.endswith("."):
             at = rng.randrange(len(text) // 2, len(text) - 1)
             if not re.search(r"[.!?]\W*$", text[:at]) and text[at - 1] != " ":
                 text = text[:at]
@@ -32,6 +32,12 @@ def test_cut_at_random(spark, data):
         rows.append((r.chunk_id, text, r.source_method, r.language, None))
     df = spark.createDataFrame(rows, "chunk_id string, page_content string, source_method string, language string, ingested_at timestamp")
     none = spark.createDataFrame([], "result_id long, summary string, client string, emitted_at timestamp")
+    return df, none, rows, cut
+
+
+def test_cut_at_random(spark, data):
+    """Whole texts cut at random inside a sentence are found, and texts left whole are not."""
+    df, none, rows, cut = some_cut(spark, data, False)
     _, got = truncation.cut_records(df, none)
     found = {r.record_key for r in got.collect()}
     print(len(rows), len(cut), len(found & cut), len(found - cut))
@@ -40,9 +46,35 @@ def test_cut_at_random(spark, data):
     assert tuple(rate) == (len(rows), len(found))
 
 
-@pytest.mark.parametrize(("line", "whole"), [("It ends here.", True), ("2. Closed sessions", True), ("- a press pass", True), ("See also: https://a.example/x", True), ("— Ann Lee, Officer", True), ("Notes on Fee Disputes in Arbelport", True), ("the city auditor wen", False), ('He said "stop."', True)])
-def test_whole_forms(line, whole):
-    assert truncation.is_whole(line, False) is whole
+def test_the_model_decides(spark, data):
+    """Without the model's counts nearly no cut text is found; by the marks of sentences alone whole lists would be cut."""
+    df, none, rows, cut = some_cut(spark, data, True)
+    blank = {k: v * 0 for k, v in truncation.train(truncation.values(df, none)).items()}
+    _, got = truncation.cut_records(df, none, blank)
+    assert len({r.record_key for r in got.collect()} & cut) < 0.1 * len(cut)
+    by_marks = {r[0] for r in rows if not truncation.END.search(r[1])} - cut
+    _, got = truncation.cut_records(df, none)
+    wrong = {r.record_key for r in got.collect()} & by_marks
+    print(len(by_marks), len(wrong))
+    assert len(by_marks) > 20 and len(wrong) < 0.3 * len(by_marks)
+
+
+@pytest.mark.parametrize(("line", "kind"), [("It ends here.", "prose"), ("2. Closed sessions", "item"), ("- a press pass", "item"), ("See also: https://a.example/x", "link"), ("— Ann Lee, Officer", "signature"), ("Notes on Fee Disputes in Arbelport", "title"), ("the city auditor wen", "prose"), ("Topic: court access", "field"), ('He said "stop."', "prose")])
+def test_forms(line, kind):
+    assert truncation.FORMS[truncation.form(line, False)] == kind
+
+
+def test_marks_of_cutting():
+    assert truncation.end_of("the city aud…", False)[0::2] == ("the city aud", True) and truncation.end_of("the fee &am", False)[3]
+    assert truncation.end_of("Up 5 % [...]", False)[:3] == ("up 0 %", 0, True) and not truncation.end_of("It is so.", False)[2]
+
+
+def test_valley():
+    import numpy as np
+
+    counts = np.zeros(32, dtype=int)
+    counts[[7, 8, 9, 24, 25, 26]] = [20, 50, 20, 200, 900, 200]
+    assert -1.5 < truncation.valley(counts) < 2 and abs(truncation.valley(counts * 0)) < 0.2
 
 
 # 2
