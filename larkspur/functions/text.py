@@ -10,6 +10,12 @@ SITE_LABEL = "Site"
 WAITING = "/waiting_room"
 RESTRICTED = ["private", "premium_only", "subscriber_only"]
 NO_DOCUMENTS = "No documents available"
+NOTHING_FOUND = "No relevant documents found."
+UNKNOWN_SOURCE = "Unknown Source"
+UNKNOWN_TYPE = "unknown"
+NO_TITLE = "Title not found"
+NO_TRANSCRIPT = "Note: No transcript available for this video."
+VIDEO_HOSTS = ("www.youtube.com", "youtube.com")
 METHODS = ["multiquery", "decompose", "stepback", "hyde", "ragfusion"]
 LANGUAGE_ORDER = ["en", "en-US", "en-GB", "en-orig"]
 
@@ -26,10 +32,10 @@ def is_url(value: Column) -> Column:
     return F.coalesce(value.startswith("http"), F.lit(False))
 
 
-def video_id(url: Column) -> Column:
-    """The video a link names: youtu.be/x, and watch?v=x, /embed/x and /v/x on the two main hosts; null for any other."""
+def video_id(url: Column, hosts: tuple[str, ...] = VIDEO_HOSTS) -> Column:
+    """The video a link names: youtu.be/x, and watch?v=x, /embed/x and /v/x on the main hosts; null for any other."""
     host, path = F.try_parse_url(url, F.lit("HOST")), F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
-    main = host.isin("www.youtube.com", "youtube.com")
+    main = host.isin(*hosts)
     named = F.when(F.size(F.split(path, "/")) >= 3, F.nullif(F.get(F.split(path, "/"), F.lit(2)), F.lit("")))
     return (
         F.when(host == "youtu.be", F.nullif(F.substring(path, 2, 1_000_000), F.lit("")))
@@ -45,9 +51,10 @@ def first_removed(text: Column, part: str = WAITING) -> Column:
 
 
 def deep_link(source: Column, kind: Column, seconds: Column) -> Column:
-    """A recording's link with its start; plain for other kinds and for a start that is null or 0."""
+    """A recording's link with its start, unrounded; plain for other kinds and for a start that is null or 0. A null source is empty."""
+    plain = F.coalesce(source, F.lit(""))
     timed = (kind == "youtube") & (F.coalesce(seconds, F.lit(0.0)) != 0)
-    return F.when(timed, F.concat(source, F.lit("&t="), seconds.cast("long").cast("string"), F.lit("s"))).otherwise(source)
+    return F.when(timed, F.concat(plain, F.lit("&t="), seconds.cast("string"), F.lit("s"))).otherwise(plain)
 
 
 def source_tag(kind: Column, link: Column) -> Column:
@@ -66,9 +73,11 @@ def shown(value: Column) -> Column:
     return F.coalesce(value.cast("string"), F.lit("None"))
 
 
-def document_block(title: Column, kind: Column, source: Column, link: Column, summary: Column, content: Column) -> Column:
-    pairs = zip(("title", "type", "source", "link", "summary", "content"), (title, kind, source, link, summary, content), strict=True)
-    return F.concat_ws("\n", *[F.concat(F.lit(f"{k}: "), shown(v)) for k, v in pairs])
+def document_block(content: Column, title: Column, kind: Column, link: Column, seconds: Column, summary: Column) -> Column:
+    """A document as prompts show it, a line for each field; only recordings have seconds."""
+    kind = F.coalesce(kind, F.lit(UNKNOWN_TYPE))
+    lines = {"content": content, "title": F.coalesce(title, F.lit(UNKNOWN_SOURCE)), "type": kind, "link": link, "timestamp_seconds": F.when(kind == "youtube", seconds), "summary": summary}
+    return F.concat_ws("\n", *[F.concat(F.lit(f"{k}: "), shown(v)) for k, v in lines.items()])
 
 
 def availability(state: Column, error: Column) -> Column:
@@ -107,20 +116,28 @@ def intent_of(label: Column) -> Column:
     return F.when(F.lower(label).contains("document request"), "retrieval").otherwise("general")
 
 
-def metadata_text(title: Column, url: Column, description: Column, channel: Column, duration: Column, tags: Column, note: str) -> Column:
+def url_component(value: Column) -> Column:
+    """Percent-encoding of a query value as browsers do it: all but letters, digits and - _ . ! ~ * ' ( ) is encoded, in UTF-8."""
+    out = F.url_encode(value)
+    for code, char in {"+": "%20", "%21": "!", "%27": "'", "%28": "(", "%29": ")", "%7E": "~"}.items():
+        out = F.replace(out, F.lit(code), F.lit(char))
+    return out
+
+
+def metadata_text(title: Column, url: Column, description: Column, uploader: Column, duration: Column, tags: Column) -> Column:
     """The text that stands for a recording without transcript; empty and null parts are left out."""
     def given(value: Column) -> Column:
         return F.coalesce(value, F.lit("")) != ""
 
     about = F.when(F.length(description) > 500, F.concat(F.left(description, F.lit(500)), F.lit("..."))).otherwise(description)
-    minutes = F.concat(F.floor(duration / 60).cast("string"), F.lit("m "), (duration % 60).cast("string"), F.lit("s"))
+    minutes = F.concat(F.floor(duration / 60).cast("string"), F.lit("m "), F.pmod(duration, F.lit(60)).cast("string"), F.lit("s"))
     return F.concat_ws(
         "\n",
-        F.concat(F.lit("Video: "), title),
+        F.concat(F.lit("YouTube video: "), F.coalesce(title, F.lit(NO_TITLE))),
         F.concat(F.lit("URL: "), url),
         F.when(given(description), F.concat(F.lit("Description: "), about)),
-        F.when(given(channel), F.concat(F.lit("Channel: "), channel)),
-        F.when(F.coalesce(duration, F.lit(0)) > 0, F.concat(F.lit("Duration: "), minutes)),
+        F.when(given(uploader), F.concat(F.lit("Channel: "), uploader)),
+        F.when(F.coalesce(duration, F.lit(0)) != 0, F.concat(F.lit("Duration: "), minutes)),
         F.when(F.size(tags) > 0, F.concat(F.lit("Tags: "), F.array_join(F.slice(tags, 1, 10), ", "))),
-        F.lit(note),
+        F.lit(NO_TRANSCRIPT),
     )

@@ -14,8 +14,15 @@ from pyspark.sql import functions as F
 
 
 def placeholder_embedding(text: Column, dims: int = 768) -> Column:
-    """The same number in every place, from a stable hash of the text; null for null."""
-    return F.when(text.isNotNull(), F.array_repeat(F.pmod(F.xxhash64(text), F.lit(1000)).cast("double"), dims))
+    """The same number, 0 to 999, in every place, from a stable hash of the text; null for null."""
+    number = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % 1000
+    return F.when(text.isNotNull(), F.array_repeat(number.cast("double"), dims))
+
+
+def letter_embedding(text: Column) -> Column:
+    """Deterministic stand-in for a model, by expressions only: how often each letter from a to z occurs; null for null."""
+    low = F.lower(text)
+    return F.when(text.isNotNull(), F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c)))).cast("float") for c in "abcdefghijklmnopqrstuvwxyz"]))
 
 
 def hash_embedder(dims: int = 64) -> Callable[[Column], Column]:
@@ -61,28 +68,26 @@ def pca(df: DataFrame, vector: str, k: int, key: str) -> DataFrame:
     return rows.mapInArrow(project, f"{key} {dict(rows.dtypes)[key]}, reduced array<double>")
 
 
-def pca_by(df: DataFrame, vector: str, k: str, group: str, key: str) -> DataFrame:
-    """(group, key, reduced): `pca` of each group's vectors for itself, with the components that column k gives for the group.
+def pca_by(df: DataFrame, vector: str, k: str, group: str, key: str, *keep: str) -> DataFrame:
+    """(group, key, keep..., reduced): `pca` of each group's vectors for itself, with the components that column k gives for the group.
 
-    A group is reduced in one task and must fit there.
+    A group is reduced in one task and must fit there. Where its vectors differ in length, or one is null, `reduced` is null.
     """
-    rows = df.where(F.col(vector).isNotNull()).select(group, key, F.col(k).alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    rows = df.select(group, key, *keep, F.col(k).alias("_k"), F.col(vector).cast("array<double>").alias("_v"))
     kinds = dict(rows.dtypes)
 
     def reduce(table: pa.Table) -> pa.Table:
-        v = table.column("v").combine_chunks()
+        v = table.column("_v").combine_chunks()
+        columns = {c: table.column(c) for c in (group, key, *keep)}
+        lengths = set(v.value_lengths().to_pylist())
+        if len(lengths) > 1 or None in lengths or 0 in lengths:
+            return pa.table(columns | {"reduced": pa.nulls(len(v), pa.list_(pa.float64()))})
         flat = np.asarray(v.flatten()).reshape(len(v), -1)
         centred = flat - flat.mean(axis=0)
         _, _, load = np.linalg.svd(centred, full_matrices=False)
-        load = load[: table.column("k")[0].as_py()].T  # of at most min(dims, rows) components
+        load = load[: table.column("_k")[0].as_py()].T  # of at most min(dims, rows) components
         load = load * np.where(load[np.abs(load).argmax(axis=0), np.arange(load.shape[1])] < 0, -1.0, 1.0)
-        return pa.table({group: table.column(group), key: table.column(key), "reduced": pa.array(list(centred @ load), pa.list_(pa.float64()))})
-
-    return rows.groupBy(group).applyInArrow(reduce, f"{group} {kinds[group]}, {key} {kinds[key]}, reduced array<double>")
-
-
-def explained(df: DataFrame, vector: str, k: int) -> list[float]:
-    rows = df.where(F.col(vector).isNotNull()).select(array_to_vector(F.col(vector).cast("array<double>")).alias("x"))
-    return list(PCA(k=k, inputCol="x", outputCol="y").fit(rows).explainedVariance)
-
+        return pa.table(columns | {"reduced": pa.array(list(centred @ load), pa.list_(pa.float64()))})
 
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in (group, key, *keep)), "reduced array<double>"])
+    return rows.groupBy(group).applyInArrow(reduce, schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.functions.text import NO_TITLE
 from larkspur.operators.fusion import keep_first
 
 
@@ -20,14 +21,22 @@ def not_loaded(urls: DataFrame, url_to_title: DataFrame, titles: DataFrame) -> D
     return urls.join(known, "url", "left_anti")
 
 
-def enriched(clips: DataFrame, metadata: DataFrame, url: str, columns: list[str]) -> DataFrame:
-    """Clips with their recording's columns, which win over the clip's own where they aren't null. Clips without metadata stay."""
-    meta = metadata.select(F.col(url).alias("_url"), *[F.col(c).alias(f"_{c}") for c in columns])
+# What a clip carries of its recording.
+CLIP_COLUMNS = ["duration", "uploader", "channel", "upload_date", "view_count", "tags", "categories", "language"]
+
+
+def enriched(clips: DataFrame, metadata: DataFrame, url: str) -> DataFrame:
+    """Clips with title, type, source and CLIP_COLUMNS of their recording, which replace the clip's own, with defaults where they are null.
+
+    A page is kept, and made of the clip's start where there is none. Clips without metadata stay, with all defaults.
+    """
+    given = ["title", *CLIP_COLUMNS]
+    meta = with_defaults(metadata.select(F.col(url).alias("_url"), *given)).select("_url", *[F.col(c).alias(f"_{c}") for c in given])
     joined = clips.join(meta, clips["source"] == meta["_url"], "left")
-    kept = [c for c in clips.columns if c not in columns]
-    own = set(clips.columns)
-    merged = [F.coalesce(f"_{c}", c).alias(c) if c in own else F.col(f"_{c}").alias(c) for c in columns]
-    return joined.select(*kept, *merged)
+    kinds = dict(meta.dtypes)
+    new = {c: F.coalesce(f"_{c}", default(c, kinds[f"_{c}"])) for c in given} | {"type": F.lit("youtube"), "page": F.coalesce("page", "start_seconds", F.lit(0.0))}
+    kept = [c for c in clips.columns if c not in new]
+    return joined.select(*kept, *[value.alias(c) for c, value in new.items()])
 
 
 def progress(status: DataFrame) -> DataFrame:
@@ -57,19 +66,16 @@ def one_per_prefix(chunks: DataFrame, group: list[str], order: list[str], keep:
 
 
 # What a recording's metadata is where a key is missing.
-DEFAULTS = {"title": "Title not found", "description": "", "duration": 0, "view_count": 0, "upload_date": "", "uploader": "", "channel": "", "channel_id": "", "language": "", "like_count": 0, "age_limit": 0}
+DEFAULTS = {"title": NO_TITLE, "description": "", "duration": 0, "view_count": 0, "upload_date": "", "uploader": "", "channel": "", "channel_id": "", "tags": [], "categories": [], "language": "", "subtitles_available": False, "like_count": 0, "age_limit": 0}
+
+
+def default(column: str, kind: str) -> Column:
+    value = DEFAULTS[column]
+    return (F.array() if value == [] else F.lit(value)).cast(kind)
 
 
 def with_defaults(metadata: DataFrame) -> DataFrame:
-    """Nulls as each key's default, tags and categories as empty arrays, missing subtitles as false, and the upload date parsed where it can be."""
+    """Nulls as each key's default, and the upload date, where there is one, parsed where it can be."""
     kinds = dict(metadata.dtypes)
-    out = metadata
-    for column, value in DEFAULTS.items():
-        if column in kinds:
-            out = out.withColumn(column, F.coalesce(column, F.lit(value).cast(kinds[column])))
-    for column in ("tags", "categories"):
-        if column in kinds:
-            out = out.withColumn(column, F.coalesce(column, F.array().cast(kinds[column])))
-    if "subtitles_available" in kinds:
-        out = out.withColumn("subtitles_available", F.coalesce("subtitles_available", F.lit(False)))
-    return out.withColumn("uploaded_on", F.try_to_date("upload_date", "yyyyMMdd"))
+    out = metadata.select(*[F.coalesce(c, default(c, kinds[c])).alias(c) if c in DEFAULTS else F.col(c) for c in metadata.columns])
+    return out.withColumn("uploaded_on", F.try_to_date("upload_date", "yyyyMMdd")) if "upload_date" in kinds else out

@@ -1,76 +1,138 @@
 """Exact inner-product search: top k of every query against all rows, thresholds and metadata filters.
 
-Queries and rows meet in blocks. Each side is packed into blocks of at most `block` vectors, every query block
-meets every row block, and a task multiplies two small matrices and keeps k rows per query. What is shuffled is a block
-at a time and k partial results per query and row block; nothing of a size that grows with the data is broadcast.
-Ties go by id. A null vector, or one of another length than the query's, is in no result.
+A query set of a checked size (`most_bytes`) is held as matrices by every task, and the rows stream past it: each task keeps
+k rows per query, so rows aren't shuffled at all. A larger one meets the rows in a grid of cells: both sides are packed into
+blocks, written once, and joined on the number of their cell; a cell keeps k rows per query and block. The ranks of a
+query are made of these partial results. Ties go by id. A null vector, one with a null or NaN in it, or one of another
+length than the query's, is in no result; nor is a row without id, or a query without any of its key's columns.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _blocks(df: DataFrame, key: str, vector: str, block: int, side: str) -> DataFrame:
-    """(ids, dim, raw): packed float64 vectors; one row for each length of vector in each block."""
+from larkspur.session import materialize
+
+STEP = 4096
+
+
+def _by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions, matrix) of the vectors of each length, those with a null or NaN left out."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    begin = np.cumsum(lengths) - lengths
+    for dim in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == dim)
+        rows = flat[begin[at][:, None] + np.arange(dim)]
+        good = ~np.isnan(rows).any(axis=1)
+        yield at[good], rows[good]
+
+
+class _Best:
+    """The k best rows so far of each query, fed block by block."""
+
+    def __init__(self, matrices: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> None:
+        self.matrices, self.k = matrices, k
+        self.held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def add(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        dim = rows.shape[1]
+        if dim not in self.matrices or not len(ids) or self.k < 1:
+            return
+        for at in range(0, len(ids), STEP):
+            some = ids[at : at + STEP]
+            scores = self.matrices[dim][1] @ rows[at : at + STEP].T
+            least = np.partition(scores, -self.k, axis=1)[:, -self.k] if scores.shape[1] > self.k else np.full(len(scores), -np.inf)
+            q, r = np.nonzero(scores >= least[:, None])
+            new = (q, some[r], scores[q, r])
+            q, i, s = (np.concatenate(x) for x in zip(self.held[dim], new, strict=True)) if dim in self.held else new
+            order = np.lexsort((i, -s, q))
+            q = q[order]
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            keep = order[place < self.k]
+            self.held[dim] = (q[place < self.k], i[keep], s[keep])
+
+    def batch(self, keys: pa.Table, names: list[str]) -> pa.RecordBatch:
+        parts = [(self.matrices[d][0][q], i, s) for d, (q, i, s) in self.held.items()]
+        at, ids, scores = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        taken = keys.take(pa.array(at, pa.int64())).combine_chunks()
+        columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in taken.columns]
+        return pa.record_batch([*columns, pa.array(ids, pa.int64()), pa.array(scores, pa.float64())], names=names)
+
+
+def _packed(df: DataFrame, columns: list[str], block: int) -> DataFrame:
+    """(no, raw): blocks of rows as Arrow files, numbered without gaps within each task's own numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = {}
-
-        def out(dim: int) -> pa.RecordBatch:
-            ids, rows = held.pop(dim)
-            raw = np.asarray(rows, dtype=np.float64).tobytes()
-            return pa.record_batch([pa.array([ids], pa.list_(pa.int64())), pa.array([dim], pa.int32()), pa.array([raw], pa.binary())], names=["ids", "dim", "raw"])
-
         for batch in batches:
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids, rows = held.setdefault(len(v), ([], []))
-                ids.append(i)
-                rows.append(v)
-                if len(ids) == block:
-                    yield out(len(v))
-        for dim in list(held):
-            yield out(dim)
-
-    chosen = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long"), vector)
-    packed = chosen.mapInArrow(run, "ids array<bigint>, dim int, raw binary")
-    return packed.select(F.col("ids").alias(f"{side}_ids"), F.col("dim").alias(f"{side}_dim"), F.col("raw").alias(f"{side}_raw"))
+            for at in range(0, batch.num_rows, block):
+                sink = pa.BufferOutputStream()
+                part = batch.slice(at, block)
+                with pa.ipc.new_stream(sink, part.schema) as writer:
+                    writer.write_batch(part)
+                yield pa.record_batch([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["raw"])
+
+    return materialize(df.select(*columns).mapInArrow(run, "raw binary").select(F.monotonically_increasing_id().alias("no"), "raw"), "blocks")
+
+
+def top_k(queries: DataFrame, rows: DataFrame, k: int, query_key: str | Sequence[str] = "qid", row_key: str = "vec_id", vector: str = "embedding", block: int = STEP, most_bytes: int = 64 << 20) -> DataFrame:
+    """(query key..., vec_id, score, rank), rank from 1. The key of a query may have several columns."""
+    keys = [query_key] if isinstance(query_key, str) else list(query_key)
+    kinds = dict(queries.dtypes)
+    chosen = queries.where(F.col(vector).isNotNull()).dropna(subset=keys).select(*keys, F.col(vector).cast("array<double>").alias("_v"))
+    stored = rows.where(F.col(row_key).isNotNull() & F.col(vector).isNotNull()).select(F.col(row_key).cast("long").alias("_id"), F.col(vector).cast("array<double>").alias("_v"))
+    names = [*keys, "vec_id", "score"]
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), "vec_id long", "score double"])
+    size = 8 * (chosen.agg(F.sum(F.size("_v"))).first()[0] or 0)
+
+    def matrices(table: pa.Table | pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        return {m.shape[1]: (at, m) for at, m in _by_length(table.column("_v")) if len(at)}
+
+    if size <= most_bytes:
+        table = chosen.toArrow()
+        shared = rows.sparkSession.sparkContext.broadcast((table.select(keys), matrices(table)))
+
+        def past(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            given, by_dim = shared.value
+            best = _Best(by_dim, k)
+            for batch in batches:
+                ids = batch.column(0).to_numpy()
+                for at, m in _by_length(batch.column(1)):
+                    best.add(ids[at], m)
+            yield best.batch(given, names)
+
+        return ranked(stored.mapInArrow(past, schema), k, keys)
+
+    left, right = _packed(chosen, [*keys, "_v"], block), _packed(stored, ["_id", "_v"], block)
+    # a grid of cells, about square in data: each query block goes to every column, each row block to every line
+    across = max(1, math.isqrt(right.count()))
+    down = max(1, math.isqrt(left.count()))
+    left = left.select(F.pmod(F.xxhash64("no"), F.lit(down)).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("j"), F.col("raw").alias("q"))
+    right = right.select(F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("i"), F.pmod(F.xxhash64("no"), F.lit(across)).alias("j"), F.col("raw").alias("r"))
+    met = left.withColumn("i", F.col("i").cast("int")).join(right.withColumn("j", F.col("j").cast("int")), ["i", "j"])
+
+    def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q, r in zip(batch.column(0), batch.column(1), strict=True):
+                given, stored_rows = (pa.ipc.open_stream(x.as_buffer()).read_all() for x in (q, r))
+                best = _Best(matrices(given), k)
+                ids = stored_rows.column("_id").to_numpy()
+                for at, m in _by_length(stored_rows.column("_v")):
+                    best.add(ids[at], m)
+                yield best.batch(given.select(keys), names)
 
+    return ranked(met.select("q", "r").mapInArrow(cell, schema), k, keys)
 
-def top_k(queries: DataFrame, rows: DataFrame, k: int, query_key: str = "qid", row_key: str = "vec_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
-    """(qid, vec_id, score, rank), rank from 1."""
-    left, right = _blocks(queries, query_key, vector, block, "q"), _blocks(rows, row_key, vector, block, "r")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                dim, other, q_ids, q_raw, r_ids, r_raw = (batch.column(c)[i].as_py() for c in ("q_dim", "r_dim", "q_ids", "q_raw", "r_ids", "r_raw"))
-                if dim != other:
-                    continue
-                order = np.argsort(r_ids, kind="stable")
-                ids = np.asarray(r_ids)[order]
-                r = np.frombuffer(r_raw).reshape(-1, dim)[order]
-                q = np.frombuffer(q_raw).reshape(-1, dim)
-                scores = q @ r.T
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                n = best.shape[1]
-                yield pa.record_batch(
-                    [pa.array(np.repeat(q_ids, n), pa.int64()), pa.array(ids[best].ravel(), pa.int64()), pa.array(np.take_along_axis(scores, best, 1).ravel(), pa.float64())],
-                    names=["qid", "vec_id", "score"],
-                )
-
-    # the stated query set against all rows, block by block: each task takes one partition of blocks of either side
-    part = left.crossJoin(right).mapInArrow(run, "qid long, vec_id long, score double")
-    return ranked(part, k)
-
-
-def ranked(hits: DataFrame, k: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))
+def ranked(hits: DataFrame, k: int, keys: Sequence[str] = ("qid",)) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
@@ -102,8 +164,3 @@ def single_top_k(rows: DataFrame, query: list[float], k: int = 4, row_key: str =
     q = F.array(*[F.lit(float(x)) for x in query])
     score = F.aggregate(F.zip_with(F.col(vector), q, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
     return rows.select(F.col(row_key).alias("vec_id"), score.alias("score")).where("score is not null").orderBy(F.desc("score"), "vec_id").limit(k)
-
-
-def new_rows(incoming: DataFrame, stored: DataFrame, key: str) -> DataFrame:
-    """Rows to append: those whose key isn't stored; one of each key."""
-    return incoming.dropDuplicates([key]).join(stored.select(key), key, "left_anti")

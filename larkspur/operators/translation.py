@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import intent_of, method_of, split_lines
+from larkspur.functions.text import NO_DOCUMENTS, intent_of, method_of, split_lines
 from larkspur.operators.fusion import reciprocal_rank_fusion, unique_union, with_placeholder
 from larkspur.operators.retrieval import top_k
 
@@ -28,6 +28,8 @@ def rule_model(prompts: pd.Series) -> pd.Series:
             return "\n".join([text, f"{text} overview", f"{text} law", f"{text} example"])
         if kind == "parts":
             return "\n".join([f"What is {text}", f"Why {text}", f"How {text}"])
+        if kind == "broader":
+            return f"What is known about {text}"
         return text if kind in ("standalone", "passage", "clean") else f"{kind}: {text}"
 
     return prompts.map(answer)
@@ -41,17 +43,20 @@ def asked(model: Model) -> Callable[[Column], Column]:
     return run
 
 
-def fan_out(questions: DataFrame, model: Model, kind: str, most: int | None = None, drop_blank: bool = False) -> DataFrame:
-    """(qid, list_no, query): the lines of the model's answer, from 0. Blank lines are queries unless dropped."""
-    lines = split_lines(asked(model)(F.concat(F.lit(f"{kind}|"), "question")), drop_blank)
-    return questions.select("qid", F.posexplode(F.slice(lines, 1, most) if most else lines).alias("list_no", "query"))
+def fan_out(questions: DataFrame, model: Model, kind: str, strip: bool = False, drop_blank: bool = False) -> DataFrame:
+    """(qid, list_no, query): the lines of the model's answer, from 0, as many as it gives.
+
+    Blank lines are queries unless dropped; `strip` takes white space off the whole answer first.
+    """
+    said = asked(model)(F.concat(F.lit(f"{kind}|"), "question"))
+    lines = split_lines(F.trim(said, F.lit(" \n\r\t")) if strip else said, drop_blank)
+    return questions.select("qid", F.posexplode(lines).alias("list_no", "query"))
 
 
 def retrieved(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """(qid, list_no, rank, vec_id), ranks from 0, for queries (qid, list_no, embedding)."""
-    numbered = queries.withColumn("_q", F.col("qid") * 1000 + F.col("list_no"))
-    hits = top_k(numbered, rows, k, query_key="_q")
-    return hits.select(F.floor(F.col("qid") / 1000).cast("long").alias("qid"), (F.col("qid") % 1000).cast("int").alias("list_no"), (F.col("rank") - 1).alias("rank"), "vec_id")
+    hits = top_k(queries, rows, k, query_key=["qid", "list_no"])
+    return hits.select("qid", "list_no", (F.col("rank") - 1).alias("rank"), "vec_id")
 
 
 def multi_query(queries: DataFrame, rows: DataFrame, k: int = 3) -> DataFrame:
@@ -89,17 +94,18 @@ def running_context(answered: DataFrame, group: str, order: str, question: str,
     return answered.withColumn("context", F.array_join(F.collect_list(pair).over(before), "\n---\n"))
 
 
-def decompose(questions: DataFrame, model: Model, contexts: DataFrame) -> DataFrame:
-    """(qid, answer): parts of a question answered one after another, each with all earlier pairs, and then together.
+def decompose(parts: DataFrame, model: Model) -> DataFrame:
+    """(qid, answer): parts (qid, list_no, query, text) of a question answered one after another, then together.
 
-    contexts: (qid, list_no, text), the formatted documents of each part. The fold is per question and bounded by its parts.
+    Each part is answered from its own documents' text with all earlier pairs in view. The fold is per question and
+    bounded by its parts.
     """
-    parts = fan_out(questions, model, "parts", 3, drop_blank=True).join(contexts, ["qid", "list_no"], "left")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pairs: list[str] = []
         for q, text in pdf.sort_values("list_no")[["query", "text"]].itertuples(index=False):
-            said = model(pd.Series([f"answer|{q} | {text or ''} | {' '.join(pairs)}"])).iloc[0]
+            earlier = "\n---\n".join(pairs)
+            said = model(pd.Series([f"answer|{q} | {text or ''} | {earlier}"])).iloc[0]
             pairs.append(f"Question: {q}\nAnswer: {said}")
         final = model(pd.Series(["synthesis|" + "\n---\n".join(pairs)])).iloc[0]
         return pd.DataFrame({"qid": [pdf["qid"].iloc[0]], "answer": [final]})
@@ -118,8 +124,12 @@ def with_history(history: DataFrame, conversation: str, turn: str, text: str) ->
     return history.withColumn("history", F.array_join(F.collect_list(text).over(before), "\n"))
 
 
-def answered(questions: DataFrame, contexts: DataFrame, model: Model) -> DataFrame:
-    """(qid, answer): the final answer, from (qid, context) where a question was routed to retrieval, else without."""
-    both = questions.join(contexts, "qid", "left")
-    prompt = F.when(F.col("intent") == "retrieval", F.concat(F.lit("final|"), F.coalesce("context", F.lit("No documents available")), F.lit(" | "), "question")).otherwise(F.concat(F.lit("general|"), "question"))
-    return both.select("qid", asked(model)(prompt).alias("answer"))
+def answered(questions: DataFrame, model: Model) -> DataFrame:
+    """(qid, answer): the final answer to (qid, question, intent, context, history): from context where the intent is retrieval, else without.
+
+    The question is the one that was asked, not the reformulated one; the history goes with both kinds of answer.
+    """
+    earlier = F.when(F.coalesce("history", F.lit("")) != "", F.concat("history", F.lit(" | "))).otherwise("")
+    with_documents = F.concat(F.lit("final|"), F.coalesce("context", F.lit(NO_DOCUMENTS)), F.lit(" | "), earlier, "question")
+    prompt = F.when(F.col("intent") == "retrieval", with_documents).otherwise(F.concat(F.lit("general|"), earlier, "question"))
+    return questions.select("qid", asked(model)(prompt).alias("answer"))

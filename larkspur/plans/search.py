@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.operators import fusion, retrieval, translation
-from larkspur.operators.embedding import pca, placeholder_embedding
+from larkspur.operators.embedding import letter_embedding, pca, placeholder_embedding
 from larkspur.plans.registry import Registry
 from larkspur.tables import read
 
@@ -134,7 +134,7 @@ def rrf_fusion(spark: SparkSession, directory: str) -> DataFrame:
 
 
 @plans.add("""with lists as (select distinct qid, link from search_results where link is not null and type = 'youtube')
-select qid, link as doc_key from lists union all select distinct qid, 'No relevant documents found' from search_results where qid not in (select qid from lists)""")
+select qid, link as doc_key from lists union all select distinct qid, 'No relevant documents found.' from search_results where qid not in (select qid from lists)""")
 def rrf_empty_guard(spark: SparkSession, directory: str) -> DataFrame:
     rows = read(spark, directory, "search_results")
     lists = rows.where("type = 'youtube'").select("qid", F.col("event_no").alias("list_no"), F.col("rank_no").alias("rank"), F.col("link").alias("doc_key"))
@@ -154,28 +154,16 @@ def pca_reduce(spark: SparkSession, directory: str) -> DataFrame:
     return out.select("vec_id", F.transform("reduced", lambda x: F.round(x, 6)).alias("reduced"))
 
 
-@plans.add()
+@plans.add("""select doc_id, case when text is null then -1 else 768 end as dims, case when text is not null then ('0x' || substr(md5(text), 1, 8))::bigint % 1000 end::double as least, least as greatest from documents""")
 def placeholder_embed(spark: SparkSession, directory: str) -> DataFrame:
     v = placeholder_embedding(F.col("text"))
-    return read(spark, directory, "documents").select("doc_id", F.size(v).alias("dims"), F.element_at(v, 1).alias("value"))
+    return read(spark, directory, "documents").select("doc_id", F.coalesce(F.size(v), F.lit(-1)).alias("dims"), F.array_min(v).alias("least"), F.array_max(v).alias("greatest"))
 
 
-@plans.add()
+@plans.add("""with d as (select doc_id, list_transform(range(26), lambda i: (length(lower(text)) - length(replace(lower(text), chr((97 + i)::int), '')))::double) as v from documents where text <> ''),
+top as (select q.doc_id as qid, d.doc_id as vec_id, list_inner_product(q.v, d.v) as score, row_number() over (partition by q.doc_id order by list_inner_product(q.v, d.v) desc, d.doc_id) as rank from d q, d where q.doc_id % 20 = 0 qualify rank <= 3)
+select qid, vec_id, round(score, 6) as score, rank from top""")
 def text_search(spark: SparkSession, directory: str) -> DataFrame:
-    """Chunks embedded by the stand-in model; every document whose id is divisible by 20 asks with its text."""
-    from larkspur.operators.embedding import hash_embedder
-
-    embed = hash_embedder()
-    docs = read(spark, directory, "documents").where("text <> ''")
-    rows = docs.select(F.col("doc_id").alias("vec_id"), embed("text").alias("embedding"))
-    queries = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), embed("text").alias("embedding"))
-    return _shown(retrieval.top_k(queries, rows, K))
-
-
-@plans.add()
-def decomposition(spark: SparkSession, directory: str) -> DataFrame:
-    """Every answer's first title as a question, in three parts answered one after another with the answer's summaries as contexts."""
-    rows = read(spark, directory, "search_results")
-    questions = rows.groupBy("qid").agg(F.min("title").alias("question")).where("question is not null")
-    contexts = rows.groupBy("qid", (F.col("rank_no") % 3).alias("list_no")).agg(F.min("summary").alias("text"))
-    return translation.decompose(questions, translation.rule_model, contexts)
+    """Texts embedded by a stand-in for a model; every document whose id is divisible by 20 asks with its text."""
+    docs = read(spark, directory, "documents").where("text <> ''").select("doc_id", letter_embedding(F.col("text")).alias("embedding"))
+    return _shown(retrieval.top_k(docs.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "qid"), docs, K, row_key="doc_id"))

@@ -12,7 +12,6 @@ from larkspur.plans.registry import Registry
 from larkspur.tables import latest, read
 
 plans = Registry()
-NOTE = "The spoken text of this recording could not be fetched."
 _SIZE = "case when chunk_size >= 1 then chunk_size else 1000 end"
 _MESSAGES = f"m as (select distinct request_id, text, {_SIZE} as n from process_request where length(text) > 0)"
 
@@ -48,7 +47,7 @@ def _entries(spark: SparkSession, directory: str) -> DataFrame:
     return read(spark, directory, "transcript").select("video_id", "entry_id", "start", "duration", "text").distinct()
 
 
-@plans.add(f"""with recursive {_ENTRIES}, d as (select video_id, start, lead(start) over (partition by video_id order by start) as nxt from (select distinct video_id, start from e)),
+ANCHORED = f"""with recursive {_ENTRIES}, d as (select video_id, start, lead(start) over (partition by video_id order by start) as nxt from (select distinct video_id, start from e)),
 f as (select video_id, min(start) as first from d group by 1),
 a(video_id, anchor) as (
   select video_id, 0.0::double from f
@@ -56,15 +55,24 @@ a(video_id, anchor) as (
   select a.video_id, (select min(d.start) from d, f where d.video_id = a.video_id and f.video_id = a.video_id and d.start - a.anchor >= 60 and d.start > f.first) from a where a.anchor is not null),
 ch as (select video_id, anchor, lead(anchor) over (partition by video_id order by anchor) as stop from a where anchor is not null)
 select e.video_id, ch.anchor as start_seconds, max(ch.stop) as end_seconds, md5(coalesce(string_agg(e.text, ' ' order by e.start, e.entry_id, e.text), '')) as text_md5
-from e join ch on e.video_id = ch.video_id and e.start >= ch.anchor and (ch.stop is null or e.start < ch.stop) group by e.video_id, ch.anchor""")
+from e join ch on e.video_id = ch.video_id and e.start >= ch.anchor and (ch.stop is null or e.start < ch.stop) group by e.video_id, ch.anchor"""
+
+
+@plans.add(ANCHORED)
 def anchored_chunks(spark: SparkSession, directory: str) -> DataFrame:
     out = chunking.anchored_chunks(_entries(spark, directory), "video_id", "start", "text", "entry_id")
     return out.select("video_id", "start_seconds", "end_seconds", F.md5("text").alias("text_md5"))
 
 
-@plans.add()
+@plans.add(f"""with recursive {_ENTRIES}, o as (select video_id, start, start + coalesce(case when not isnan(duration) then duration end, 0) as stop, text, entry_id, row_number() over (partition by video_id order by start, entry_id, text nulls first) as i from e),
+f(video_id, i, no, most, begin) as (
+  select video_id, 1, 0, case when stop > 60 then 120.0::double else 60 end, case when stop > 60 then 60.0::double else 0 end from o where i = 1
+  union all
+  select o.video_id, o.i, case when stop > most then no + 1 else no end, case when stop > most then most + 60 else most end, case when stop > most then most else begin end from f join o on o.video_id = f.video_id and o.i = f.i + 1)
+select video_id, no as chunk_no, min(begin) as start_seconds, md5(coalesce(string_agg(text, ' ' order by i), '')) as text_md5 from f join o using (video_id, i) group by video_id, no""")
 def grid_chunks(spark: SparkSession, directory: str) -> DataFrame:
-    return chunking.grid_chunks(_entries(spark, directory), "video_id", "start", "duration", "text", "entry_id")
+    out = chunking.grid_chunks(_entries(spark, directory), "video_id", "start", "duration", "text", "entry_id")
+    return out.select("video_id", "chunk_no", "start_seconds", F.md5("text").alias("text_md5"))
 
 
 @plans.add(f"with {_ENTRIES} select video_id, floor(start / 60)::bigint as bucket, md5(coalesce(string_agg(text, ' ' order by start, entry_id, text), '')) as text_md5 from e group by 1, 2")
@@ -84,14 +92,14 @@ def two_level_split(spark: SparkSession, directory: str) -> DataFrame:
     return chunking.two_level_chunks(read(spark, directory, "documents"), "text", "doc_id")
 
 
-@plans.add(f"""select url, concat_ws(chr(10), 'Video: ' || title, 'URL: ' || url,
+@plans.add("""select url, concat_ws(chr(10), 'YouTube video: ' || coalesce(title, 'Title not found'), 'URL: ' || url,
   case when coalesce(description, '') <> '' then 'Description: ' || case when length(description) > 500 then left(description, 500) || '...' else description end end,
-  case when coalesce(channel, '') <> '' then 'Channel: ' || channel end,
-  case when coalesce(duration, 0) > 0 then 'Duration: ' || (duration // 60) || 'm ' || (duration % 60) || 's' end,
+  case when coalesce(uploader, '') <> '' then 'Channel: ' || uploader end,
+  case when coalesce(duration, 0) <> 0 then 'Duration: ' || (duration // 60) || 'm ' || (duration % 60) || 's' end,
   case when len(tags) > 0 then 'Tags: ' || array_to_string(tags[1:10], ', ') end,
-  '{NOTE}') as page_content from video_metadata""")
+  'Note: No transcript available for this video.') as page_content from video_metadata""")
 def metadata_doc(spark: SparkSession, directory: str) -> DataFrame:
-    made = text.metadata_text(*[F.col(c) for c in ("title", "url", "description", "channel", "duration", "tags")], NOTE)
+    made = text.metadata_text(*[F.col(c) for c in ("title", "url", "description", "uploader", "duration", "tags")])
     return read(spark, directory, "video_metadata").select("url", made.alias("page_content"))
 
 
@@ -102,21 +110,23 @@ def title_norm(spark: SparkSession, directory: str) -> DataFrame:
     return rows.select("source", text.normal_title(F.col("source")).alias("title"))
 
 
-_BLOCK = " || chr(10) || ".join(f"'{k}: ' || coalesce({v}, 'None')" for k, v in (("title", "title"), ("type", "type"), ("source", "source"), ("link", "link"), ("summary", "note"), ("content", "page_content")))
-_LINK = "case when type = 'youtube' and coalesce(page, 0) <> 0 and not isnan(coalesce(page, 0)) then source || '&t=' || trunc(page)::bigint || 's' else source end"
+_LINK = "coalesce(source, '') || case when type = 'youtube' and coalesce(page, 0) <> 0 then '&t=' || page::varchar || 's' else '' end"
+_BLOCK = """'content: ' || coalesce(page_content, 'None') || chr(10) || 'title: ' || coalesce(title, 'Unknown Source') || chr(10) || 'type: ' || coalesce(type, 'unknown') || chr(10) || 'link: ' || link || chr(10)
+|| 'timestamp_seconds: ' || coalesce(case when type = 'youtube' then page::varchar end, 'None') || chr(10) || 'summary: ' || coalesce(note, 'None')"""
 
 
-@plans.add(f"with c as (select distinct chunk_id, title, type, source, note, page_content, {_LINK} as link from chunks) select chunk_id, md5({_BLOCK}) as block_md5 from c")
+@plans.add(f"with c as (select distinct chunk_id, title, type, source, page, note, page_content, {_LINK} as link from chunks) select chunk_id, md5({_BLOCK}) as block_md5 from c")
 def doc_format(spark: SparkSession, directory: str) -> DataFrame:
-    link = text.deep_link(F.col("source"), F.col("type"), F.nanvl("page", F.lit(0.0)))
-    rows = read(spark, directory, "chunks").withColumn("link", link).select("chunk_id", "title", "type", "source", "note", "page_content", "link").distinct()
-    block = text.document_block(*[F.col(c) for c in ("title", "type", "source", "link", "note", "page_content")])
+    """The note stands for the summary, which chunks don't have."""
+    link = text.deep_link(F.col("source"), F.col("type"), F.col("page"))
+    rows = read(spark, directory, "chunks").select("chunk_id", "title", "type", "source", "page", "note", "page_content").distinct()
+    block = text.document_block(F.col("page_content"), F.col("title"), F.col("type"), link, F.col("page"), F.col("note"))
     return rows.select("chunk_id", F.md5(block).alias("block_md5"))
 
 
 @plans.add(f"select distinct chunk_id, {_LINK} as link from chunks")
 def deep_link(spark: SparkSession, directory: str) -> DataFrame:
-    link = text.deep_link(F.col("source"), F.col("type"), F.nanvl("page", F.lit(0.0)))
+    link = text.deep_link(F.col("source"), F.col("type"), F.col("page"))
     return read(spark, directory, "chunks").select("chunk_id", link.alias("link")).distinct()
 
 

@@ -11,43 +11,59 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "video_id string, start_seconds double, end_seconds double, text string"
-STATE = "anchor double, starts array<double>, texts array<string>"
+STATE = "anchor double, top double, starts array<double>, ids array<bigint>, texts array<string>"
 
 
-def anchored_stream(entries: DataFrame, length: float = 60.0) -> DataFrame:
+def anchored_stream(entries: DataFrame, length: float = 60.0, lateness: float = 0.0) -> DataFrame:
     """(video_id, start_seconds, end_seconds, text) of chunks as they close; the open one stays in the state.
 
-    Entries (video_id, entry_id, start, text) come in order of start over micro-batches and in any order within one.
+    Entries are (video_id, entry_id, start, text). A chunk closes with the first entry at least `length` after it began, once an
+    entry `lateness` after that one has been seen; until then entries may come in any order, and more than once. What comes
+    for a closed chunk is dropped. The state holds the entries of a chunk and of `lateness`, whatever a recording's length.
     """
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        anchor, starts, texts = state.get if state.exists else (0.0, [], [])
-        starts, texts = list(starts), list(texts)
-        rows = pd.concat(list(frames)).drop_duplicates(["start", "entry_id"]).sort_values(["start", "entry_id"])
-        out = []
-        for start, text in rows[["start", "text"]].itertuples(index=False):
-            if start - anchor >= length and starts and start != starts[-1]:
-                out.append((key[0], anchor, start, " ".join(t for t in texts if t is not None)))
-                anchor, starts, texts = start, [], []
-            starts = [start]
-            texts.append(text)
-        state.update((anchor, starts, texts))
+        anchor, top, starts, ids, texts = state.get if state.exists else (0.0, 0.0, [], [], [])
+        held = {(s, i): t for s, i, t in zip(starts, ids, texts, strict=True)}
+        for frame in frames:
+            for s, i, t in frame[["start", "entry_id", "text"]].itertuples(index=False):
+                if s >= anchor:
+                    held.setdefault((s, i), t if isinstance(t, str) else None)
+        rows = [(s, i, t) for (s, i), t in sorted(held.items(), key=lambda x: x[0])]
+        top = max([top, *(r[0] for r in rows[-1:])])
+        out, words, at, first = [], [], 0, None
+        for i, (start, _, text) in enumerate(rows):
+            first = start if first is None else first
+            if start - anchor >= length and start != first:
+                if start > top - lateness:
+                    break
+                out.append((key[0], anchor, start, " ".join(words)))
+                anchor, words, at, first = start, [], i, start
+            if text is not None:
+                words.append(text)
+        kept = rows[at:]
+        state.update((anchor, top, [r[0] for r in kept], [r[1] for r in kept], [r[2] for r in kept]))
         yield pd.DataFrame(out, columns=["video_id", "start_seconds", "end_seconds", "text"])
 
     rows = entries.where("video_id is not null and start is not null and not isnan(start)").select("video_id", "entry_id", "start", "text")
     return rows.groupBy("video_id").applyInPandasWithState(fold, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def load_batches(target: str, key: str):  # noqa: ANN201
-    """A function for foreachBatch that appends rows whose key isn't stored yet: each load costs what it adds."""
+def load_batches(target: str, key: str, parts: int = 64):  # noqa: ANN201
+    """A function for foreachBatch that appends rows whose key isn't stored yet.
+
+    The store is partitioned by the key's hash, and a batch is checked against the partitions it falls into only. A batch
+    that is run again adds nothing. Any failure but that of a store that isn't there yet is raised.
+    """
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates([key])
-        try:
-            new = new.join(spark.read.parquet(target).select(key), key, "left_anti")
-        except Exception:  # noqa: BLE001 - nothing is stored yet
-            pass
-        new.write.mode("append").parquet(target)
+        new = batch.dropDuplicates([key]).withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+        where = spark._jvm.org.apache.hadoop.fs.Path(target)
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            touched = [r["part"] for r in new.select("part").distinct().collect()]  # at most `parts`
+            stored = spark.read.schema(new.schema).parquet(target).where(F.col("part").isin(touched)).select("part", key)
+            new = new.join(stored, ["part", key], "left_anti")
+        new.write.mode("append").partitionBy("part").parquet(target)
 
     return write
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larkspur.functions.json_doc import sse_frame
 
 # Fixed value: what a client is told when an answer fails.
-FAILED = "An error occurred while processing your request."
+FAILED = "An error occurred while processing your query."
 
 
 def numbered(events: DataFrame, group: str, order: list[str]) -> DataFrame:
@@ -25,9 +25,10 @@ def frames(events: DataFrame) -> DataFrame:
     return events.select("qid", "order", sse_frame(F.col("order"), F.col("message"), F.col("context")).alias("frame"))
 
 
-def error_event(qid: str = "qid") -> list:
-    """Columns of the terminal event of a failed answer."""
-    return [F.col(qid), F.lit(1).alias("order"), F.lit(FAILED).alias("message")]
+def error_events(failed: DataFrame, qid: str = "qid") -> DataFrame:
+    """(qid, order, frame): the terminal event of each failed answer."""
+    frame = sse_frame(F.lit(FAILED).alias("message"), F.lit(1).alias("order"))
+    return failed.select(qid, F.lit(1).alias("order"), frame.alias("frame"))
 
 
 def once(stream: DataFrame, keys: list[str], time: str, delay: str = "1 day") -> DataFrame:

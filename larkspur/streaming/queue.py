@@ -39,12 +39,19 @@ def depth(messages: DataFrame, queue: str, time: str, minutes: int = 5) -> DataF
     return messages.where(F.col(queue).isNotNull() & F.col(time).isNotNull()).groupBy(queue, start.alias("window_start")).agg(F.count("*").alias("messages"))
 
 
-def alarms(depths: DataFrame, queue: str, threshold: int, minutes: int = 5) -> DataFrame:
+def most(queue: str) -> Column:
+    """A queue's alarm threshold; null, so never crossed, for another queue."""
+    out = F.lit(None).cast("int")
+    for name, limit in DEPTHS.items():
+        out = F.when(F.col(queue) == name, limit).otherwise(out)
+    return out
+
+
+def alarms(depths: DataFrame, queue: str, threshold: Column | int, minutes: int = 5) -> DataFrame:
     """Windows over the threshold that follow one over it without a gap: two periods in a row."""
-    w = Window.partitionBy(queue).orderBy("window_start")
-    before = F.lag("messages").over(w)
-    adjacent = F.unix_seconds("window_start") - F.unix_seconds(F.lag("window_start").over(w)) == minutes * 60
-    return depths.withColumn("_hit", adjacent & (before > threshold) & (F.col("messages") > threshold)).where("_hit").drop("_hit")
+    over = depths.where(F.col("messages") > threshold)
+    before = over.select(queue, (F.col("window_start") + F.make_dt_interval(mins=F.lit(minutes))).alias("window_start"))
+    return over.join(before, [queue, "window_start"], "left_semi")
 
 
 def rate_limited(requests: DataFrame, client: str, time: str, rate: float = 10.0, burst: int = 5) -> DataFrame:

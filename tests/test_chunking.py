@@ -130,7 +130,8 @@ def test_empty(spark):
 def test_metadata_text(spark):
     from larkspur.functions.text import metadata_text
 
-    df = spark.createDataFrame([("T", "u", "d" * 501, None, 125, [str(i) for i in range(12)]), ("T", "u", None, "", None, [])], "a string, b string, c string, d string, e long, f array<string>")
-    one, two = (r[0].split("\n") for r in df.select(metadata_text(*[F.col(x) for x in "abcdef"], "note")).collect())
-    assert one == ["Video: T", "URL: u", "Description: " + "d" * 500 + "...", "Duration: 2m 5s", "Tags: " + ", ".join(map(str, range(10))), "note"]
-    assert two == ["Video: T", "URL: u", "note"]
+    df = spark.createDataFrame([("T", "u", "d" * 501, None, 125, [str(i) for i in range(12)]), (None, "u", None, "", None, [])], "a string, b string, c string, d string, e long, f array<string>")
+    one, two = (r[0].split("\n") for r in df.select(metadata_text(*[F.col(x) for x in "abcdef"])).collect())
+    last = "Note: No transcript available for this video."
+    assert one == ["YouTube video: T", "URL: u", "Description: " + "d" * 500 + "...", "Duration: 2m 5s", "Tags: " + ", ".join(map(str, range(10))), last]
+    assert two == ["YouTube video: Title not found", "URL: u", last]

@@ -1,6 +1,7 @@
 """Retrieval, fusion, embedding, joins, translation, queues and sources on small cases."""
 
-from urllib.parse import quote_plus
+import json
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,10 @@ def test_top_k(spark):
     score = v.astype(float) @ v.astype(float).T
     want = {(q, k + 1): int(i) for q in range(0, 300, 20) for k, i in enumerate(np.lexsort((np.arange(300), -score[q]))[:4])}
     assert got == want
+    # a query set too large to be held: a grid of cells
+    grid = retrieval.top_k(queries.withColumn("part", F.lit("p")), df, 4, query_key=["part", "qid"], block=7, most_bytes=1)
+    assert {(r.qid, r["rank"]): r.vec_id for r in grid.collect()} == want
+    assert "BroadcastNestedLoop" not in grid._jdf.queryExecution().toString() and "CartesianProduct" not in grid._jdf.queryExecution().toString()
 
 
 def test_top_k_ties_and_few(spark):
@@ -46,7 +51,7 @@ def test_rrf(spark):
     assert [r.doc_key for r in out] == ["B", "A", "C"]
     assert abs(out[0].score - (1 / 61 + 1 / 60)) < 1e-12
     queries = spark.createDataFrame([(1,), (2,)], "qid long")
-    assert fusion.with_placeholder(queries, fusion.reciprocal_rank_fusion(df)).where("qid = 2").first().doc_key == "No relevant documents found"
+    assert fusion.with_placeholder(queries, fusion.reciprocal_rank_fusion(df)).where("qid = 2").first().doc_key == "No relevant documents found."
     assert [r.doc_key for r in fusion.unique_union(df.where("doc_key is not null")).orderBy("place").collect()] == ["A", "B", "C"]
 
 
@@ -87,15 +92,13 @@ def test_json3(spark):
 
 def test_translation(spark):
     q = spark.createDataFrame([(1, "fees")], "qid long, question string")
-    assert translation.fan_out(q, translation.rule_model, "multi").count() == 5
-    assert translation.fan_out(q, translation.rule_model, "fusion", 2).count() == 2
-    contexts = spark.createDataFrame([(1, 0, "c0"), (1, 2, "c2")], "qid long, list_no int, text string")
-    answer = translation.decompose(q, translation.rule_model, contexts).first().answer
-    assert answer.startswith("synthesis: Question: What is fees") and "c2" in answer and answer.count("Question:") >= 3
+    parts = spark.createDataFrame([(1, 2, "How fees", "c2"), (1, 0, "What is fees", "c0"), (1, 1, "Why fees", None)], "qid long, list_no int, query string, text string")
+    answer = translation.decompose(parts, translation.rule_model).first().answer
+    assert answer.startswith("synthesis: Question: What is fees\nAnswer: answer: What is fees | c0 | ") and "How fees | c2 | Question: What is fees" in answer
     hist = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (2, 1, "z")], "c long, t int, x string")
     assert {(r.c, r.t): r.history for r in translation.with_history(hist, "c", "t", "x").collect()} == {(1, 1): "", (1, 2): "a", (2, 1): ""}
-    routed = translation.routed(q.withColumn("label", F.lit("document request")), "label")
-    assert translation.answered(routed, spark.createDataFrame([(1, "ctx")], "qid long, context string"), translation.rule_model).first().answer == "final: ctx | fees"
+    routed = translation.routed(q.withColumn("label", F.lit("document request")), "label").withColumn("context", F.lit("ctx")).withColumn("history", F.lit("old"))
+    assert translation.answered(routed, translation.rule_model).first().answer == "final: ctx | old | fees"
 
 
 def test_worker(spark):
@@ -109,8 +112,21 @@ def test_worker_components(spark):
     five = "One. Two. Three. Four. Five."
     rows = [(1, five, 5, 2), (2, five, 5, None), (3, five, 5, 0), (4, five, 5, 64), (5, "One.", 5, 128), (6, "", 5, 2)]
     df = spark.createDataFrame(rows, "request_id long, text string, chunk_size int, pca_components int")
-    got = {r.request_id: (r.chunk_count, r.embedding_dimensions) for r in worker.processed(df, "request_id").collect()}
-    assert got == {1: (5, 2), 2: (5, 5), 3: (5, 5), 4: (5, 5), 5: (1, 1), 6: (0, 0)}
+    got = {r.request_id: (r.status_code, r.chunk_count, r.embedding_dimensions) for r in worker.processed(df, "request_id").collect()}
+    assert got == {1: (200, 5, 2), 2: (200, 5, 5), 3: (200, 5, 5), 4: (200, 5, 5), 5: (200, 1, 1), 6: (400, 0, 0)}
+
+
+def test_worker_responses(spark):
+    """400 without text, 500 where the vectors of a message differ in length, and else the chunks with their vectors."""
+    rows = [(1, "One. Two.", 4), (2, None, 4), (3, "One. Threee.", 4), (4, " ", 4)]
+    df = spark.createDataFrame(rows, "request_id long, text string, chunk_size int")
+    uneven = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: i.cast("double"))
+    got = {r.request_id: json.loads(r.response) for r in worker.responses(df, "request_id", embed=uneven).collect()}
+    assert {k: v["statusCode"] for k, v in got.items()} == {1: 200, 2: 400, 3: 500, 4: 200}
+    body = json.loads(got[1]["body"])
+    assert body["chunks"] == ["One.", "Two."] and body["chunk_count"] == 2 and len(body["embeddings"]) == 2 and body["embedding_dimensions"] == 2
+    assert json.loads(got[2]["body"]) == {"error": "No text provided"} and "error" in json.loads(got[3]["body"])
+    assert json.loads(got[4]["body"]) == {"chunks": [], "embeddings": [], "chunk_count": 0, "embedding_dimensions": 0}
 
 
 def test_pca_by(spark):
@@ -124,12 +140,12 @@ def test_pca_by(spark):
         assert all(got[g, i] == pytest.approx(alone[i], abs=1e-6) and len(alone[i]) == 2 + g for i in range(6))
 
 
-def test_url_params_all(spark, tmp_path):
-    """Every title is encoded as a form does it; of what quote_plus does, only * and ~ differ."""
-    titles = ["Plain title 1.2_3-4", "Reporter's Privilege (in brief)", "Añadir & más: 100 %", 'He said "no"', "a*b~c/d?e=f#g+h", "北京 🙂", "", None]
+def test_url_component(spark, tmp_path):
+    """Every title is encoded as a browser does it."""
+    titles = ["Plain title 1.2_3-4", "Reporter's Privilege (in brief)!", "Añadir & más: 100 %", 'He said "no"', "a*b~c/d?e=f#g+h", "北京 🙂", "", None]
     spark.createDataFrame(list(enumerate(titles)), "doc_id long, title string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.query for r in relational.url_params_all(spark, str(tmp_path)).collect()}
-    assert got == {i: quote_plus(t, safe="*").replace("~", "%7E") for i, t in enumerate(titles) if t is not None}
+    got = {r.doc_id: r.query for r in relational.url_params(spark, str(tmp_path)).collect()}
+    assert got == {i: quote(t, safe="-_.!~*'()") for i, t in enumerate(titles) if t is not None}
 
 
 def test_ingest(spark):
@@ -163,6 +179,31 @@ def test_stream_equals_batch(spark, data, tmp_path):
     assert {tuple(r) for r in got.collect()} == closed and closed
 
 
+def test_stream_over_batches(spark, tmp_path):
+    """The state goes over batches; late and repeated entries of an open chunk count once, in their place."""
+    rows = [[(1, 0.0, "a"), (2, 30.0, "b")], [(4, 70.0, "d"), (1, 0.0, "a")], [(3, 50.0, "c"), (5, 140.0, "e")], [(6, 10.0, "late"), (7, 300.0, "f")]]
+    for i, part in enumerate(rows):
+        df = spark.createDataFrame([("v", n, t, x) for n, t, x in part], "video_id string, entry_id long, start double, text string")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = stream_of(spark, str(tmp_path / "in"), 1)
+    got = run_to_end(chunks.anchored_stream(stream, lateness=60.0)).orderBy("start_seconds").collect()
+    assert [tuple(r) for r in got] == [("v", 0.0, 70.0, "a b c"), ("v", 70.0, 140.0, "d"), ("v", 140.0, 300.0, "e")][: len(got)] and len(got) >= 2
+
+
+def test_load_batches(spark, tmp_path):
+    target = str(tmp_path / "store")
+    write = chunks.load_batches(target, "k")
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("a", 1)], "k string, n int")
+    for batch in (df, df, spark.createDataFrame([("c", 3), ("b", 2)], df.schema)):
+        write(batch, 0)
+    assert sorted(r.k for r in spark.read.parquet(target).collect()) == ["a", "b", "c"]
+    (tmp_path / "store" / "part=0").mkdir(exist_ok=True)
+    for path in (tmp_path / "store").glob("part=*/*.parquet"):
+        path.write_bytes(b"broken")
+    with pytest.raises(Exception):  # noqa: B017 - a store that can't be read isn't an empty one
+        write(df, 1)
+
+
 def test_stream_dead_letters(spark, data, tmp_path):
     good, dead = str(tmp_path / "good"), str(tmp_path / "dead")
     run_to_end(stream_of(spark, f"{data}/process_request.parquet"), each=queue.dead_letter_batches(good, dead))
@@ -180,6 +221,7 @@ def test_progress_listener():
 def test_events(spark):
     df = spark.createDataFrame([(1, 4, "Hel"), (1, 7, "lo"), (1, 7, "lo"), (1, 9, None)], "qid long, `order` long, message string")
     assert events.folded(df).first().text == "Hello"
+    assert tuple(events.error_events(df.select("qid").distinct()).first()) == (1, 1, 'data: {"message":"An error occurred while processing your query.","order":1}\n\n')
 
 
 def test_sources(spark, tmp_path):
@@ -225,15 +267,28 @@ def test_hash_embedder(spark):
 def test_ask(spark):
     from larkspur.operators import asking
 
-    chunks = spark.createDataFrame([(1, "fees for public records", "Fees", "pdf", "s1", 0.0, None), (2, "court access rules", "Court", "youtube", "s2", 12.0, "sum"), (3, None, "None", "pdf", "s3", 0.0, None)], "id long, page_content string, title string, type string, source string, page double, summary string")
-    questions = spark.createDataFrame([(1, "fees for records", "document request ragfusion"), (2, "court access", "document request"), (3, "hello", "chat"), (4, None, None)], "qid long, question string, label string")
+    chunks = spark.createDataFrame([(1, "fees for public records", "Fees", "pdf", "s1", 0.0, None), (2, "court access rules", "Court", "youtube", "s2", 12.5, "sum"), (3, None, "None", "pdf", "s3", 0.0, None)], "id long, page_content string, title string, type string, source string, page double, summary string")
+    questions = spark.createDataFrame([(1, "fees for records", "document request ragfusion"), (2, "court access", "document request"), (3, "hello", "chat"), (4, None, None), (5, "fees", "document request decompose"), (6, "court", "document request stepback"), (7, "court", "document request hyde"), (5_000_000_000_000_000_000, "fees", "document request")], "qid long, question string, label string")
     got = {r.qid: r.answer for r in asking.ask(questions, chunks, "id", translation.rule_model, embedding.hash_embedder(), 1).collect()}
-    assert got[1].startswith("final: title: Fees\ntype: pdf") and "summary: None" in got[1]
-    assert "link: s2&t=12s" in got[2] and got[3] == "general: hello" and 4 in got
-    empty = asking.ask(questions, chunks.limit(0), "id", translation.rule_model, embedding.hash_embedder())
-    assert {r.qid: r.answer for r in empty.collect()}[1].startswith("final: No documents available")
+    fees = "content: fees for public records\ntitle: Fees\ntype: pdf\nlink: s1\ntimestamp_seconds: None\nsummary: None"
+    assert got[1].startswith(f"final: {fees}") and got[1].endswith(" | fees for records")
+    assert "link: s2&t=12.5s\ntimestamp_seconds: 12.5\nsummary: sum" in got[2] and got[3] == "general: hello" and 4 in got
+    assert got[5].startswith("final: synthesis: Question: What is fees\nAnswer: answer: What is fees | content: ") and got[5].count("\n---\nQuestion: ") >= 2
+    assert got[6].startswith("final: stepback: content: court access rules") and got[7].startswith("final: hyde: content: court access rules")
+    assert 5_000_000_000_000_000_000 in got and "Fees" in got[5_000_000_000_000_000_000]
+    empty = {r.qid: r.answer for r in asking.ask(questions, chunks.limit(0), "id", translation.rule_model, embedding.hash_embedder()).collect()}
+    assert empty[2].startswith("final: No documents available | ") and empty[1].startswith("final: content: No relevant documents found.\ntitle: Unknown Source\ntype: unknown\nlink: \ntimestamp_seconds: None\nsummary: None | ")
     hist = spark.createDataFrame([(1, "earlier")], "qid long, history string")
     assert {r.qid: r.standalone for r in asking.contextualised(questions.where("qid < 3"), hist, translation.rule_model).collect()} == {1: "earlier fees for records", 2: "court access"}
+    said = {r.qid: r.answer for r in asking.ask(questions.where("qid < 4"), chunks, "id", translation.rule_model, embedding.hash_embedder(), 1, history=hist).collect()}
+    assert said[1].endswith(" | earlier | fees for records") and said[3] == "general: hello"
+
+
+def test_fan_out_takes_all_lines(spark):
+    questions = spark.createDataFrame([(1, "q")], "qid long, question string")
+    many = translation.fan_out(questions, lambda s: s.map(lambda _: "\n".join("abcdefg") + "\n"), "multi")
+    assert [r.query for r in many.orderBy("list_no").collect()] == [*"abcdefg", ""]
+    assert translation.fan_out(questions, lambda s: s.map(lambda _: "\n a\nb \n"), "parts", strip=True).count() == 2
 
 
 def test_file_queue(spark, tmp_path):
