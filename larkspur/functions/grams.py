@@ -78,26 +78,6 @@ def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return span_hash(prefix_hash(points), start, end), of
 
 
-def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
-    """For each text the sorted distinct 32-bit hashes of its sequences of `width` words.
-
-    A text of fewer words has no sequence and gets an empty set.
-    """
-    w, of = words(texts)
-    n = len(w) - width + 1
-    if n <= 0:
-        return [np.zeros(0, np.uint32)] * len(texts)
-    h = np.zeros(n, dtype=np.uint64)
-    for k in range(width):
-        h = mix(h * np.uint64(_BASE) + w[k : k + n])
-    whole = of[:n] == of[width - 1 :]
-    packed = (of[:n][whole].astype(np.uint64) << np.uint64(32)) | (h[whole] >> np.uint64(32))
-    packed = np.unique(packed)
-    which, value = (packed >> np.uint64(32)).astype(np.int64), packed.astype(np.uint32)
-    cuts = np.searchsorted(which, np.arange(len(texts) + 1))
-    return [value[cuts[i] : cuts[i + 1]] for i in range(len(texts))]
-
-
 def sequence_hashes(texts: list[str | None], width: int) -> list[np.ndarray]:
     """For each text the sorted distinct 64-bit hashes of its sequences of `width` words.
 
@@ -118,3 +98,12 @@ def sequence_hashes(texts: list[str | None], width: int) -> list[np.ndarray]:
         s = np.sort(h[cuts[i] : cuts[i + 1]])
         out.append(s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s)
     return out
+
+
+def window_hash(prefix: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each run of k code points, in order; what `span_hash` gives for it."""
+    n = len(prefix) - k
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    _grow(n)
+    return mix((prefix[k:] - prefix[:n]) * _inverses[:n] + np.uint64(k))
