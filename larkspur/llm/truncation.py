@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.functions.grams import code_points, prefix_hash, span_hash
+from larkspur.functions.grams import code_points, prefix_hash, window_hash
 from larkspur.llm.scan_noise import BARE, BOTH, ROMAN, STRONG
 from larkspur.session import materialize
 from larkspur.tables import latest
@@ -46,6 +46,7 @@ SEGMENT = 1 << 15
 LANGUAGES = {"en": "en", "eng": "en", "es": "es", "spa": "es", "fr": "fr", "fra": "fr", "fre": "fr", "de": "de", "deu": "de", "ger": "de", "pt": "pt", "por": "pt", "pl": "pl", "pol": "pl"}
 GROUPS = ["und", "en", "es", "fr", "de", "pt", "pl", "other"]
 FORMS = ["prose", "title", "item", "link", "signature", "field", "own line"]
+PAD = "\x02" * max(ORDERS)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 MARK = re.compile(r"(?:\s*(?:…|\.\.\.|\[\s*(?:\.\.\.|…)\s*\]|\((?:more|continued)\)|�+|&#?\w{0,6}))+\s*$")
@@ -56,25 +57,33 @@ LINK = re.compile(r"(?:https?://|www\.)\S+")
 ITEM = re.compile(r"^\s*(?:[-*•‣]|\d+[.)]|\(?[a-z]\))\s+\S")
 SIGNED = re.compile(r"^\s*[—–]\s*[^\W\d_]")
 FIELD = re.compile(r"^\s*[^\W\d_][\w ]{1,20}:\s+(.*)$")
-DIGIT = re.compile(r"\d")
+
+
+def at_end(pattern: re.Pattern, text: str) -> re.Match | None:
+    """What a pattern for the end of a text finds; only where it reaches far back is the whole text looked through."""
+    pos = max(0, len(text) - 60)
+    m = pattern.search(text, pos)
+    return pattern.search(text) if m and pos and m.start() == pos else m
 
 
 def is_title(line: str) -> bool:
     """Capitals at most of the longer words, or at all of them."""
+    if len(line) >= 120:
+        return False
     line = re.sub(r",?\s+no\.\s*\S+", "", line)
     words = [w for w in re.findall(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*", line) if len(w) > 3]
-    return bool(words) and len(line) < 120 and (line.upper() == line or sum(w[0].isupper() for w in words) >= 0.8 * len(words) and not re.search(r"[.!?,;] ", line))
+    return bool(words) and (line.upper() == line or sum(w[0].isupper() for w in words) >= 0.8 * len(words) and not re.search(r"[.!?,;] ", line))
 
 
 def is_furniture(line: str) -> bool:
     """A page number or running header."""
-    return bool(STRONG.match(line) or BARE.match(line) or ROMAN.match(line) or BOTH.match(line)) or is_title(line.strip()) and not END.search(line)
+    return bool(STRONG.match(line) or BARE.match(line) or ROMAN.match(line) or BOTH.match(line)) or is_title(line.strip()) and not at_end(END, line)
 
 
 def form(part: str, own_line: bool) -> int:
     """The class of ends that a text's last part belongs to."""
     x = part.strip()
-    if END.search(x):
+    if at_end(END, x):
         return 0
     if (m := LINK.search(x)) and m.end() == len(x):
         return 3
@@ -103,19 +112,19 @@ def line_ends(text: str) -> list[tuple[str, bool]]:
     if width > 130 or len(full) <= 2:
         return [(x.strip(), several) for x in full]
     last = full[-1].strip()
-    if END.search(full[-2]) or ITEM.match(last) or SIGNED.match(last) or FIELD.match(last) or LINK.search(last):
+    if at_end(END, full[-2]) or ITEM.match(last) or SIGNED.match(last) or FIELD.match(last) or LINK.search(last):
         return [(last, True)]
     return [(" ".join(x.strip() for x in full), False)]
 
 
-def end_of(stretch: str, several: bool) -> tuple[str, int, bool, bool]:
-    """(characters as the model reads them, class, marked, broken) of a stretch; marks of cutting are taken off."""
-    m = MARK.search(stretch)
+def end_of(stretch: str, several: bool, last_only: bool = False) -> tuple[str, int, bool, bool]:
+    """(characters as the model reads them, class, marked, broken) of a stretch; marks of cutting are taken off. Of all or the last 12 characters."""
+    m = at_end(MARK, stretch)
     cut = stretch[: m.start()].rstrip() if m else stretch
     last = BOUNDARY.split(cut[-400:])[-1]
     kind = 0 if m or len(last) == 400 else form(last, several and len(last) == len(cut))
     read = LINK.sub("\x03", cut) if "http" in cut or "www." in cut else cut
-    return DIGIT.sub("0", read.lower()), kind, bool(m), bool(m and STRONG_MARK.search(stretch))
+    return (read[-12:] if last_only else read).lower()[-12 if last_only else 0 :], kind, bool(m), bool(m and at_end(STRONG_MARK, stretch))
 
 
 def values(chunks: DataFrame, results: DataFrame) -> DataFrame:
@@ -143,27 +152,23 @@ def _slots(h: np.ndarray, size: int) -> np.ndarray:
     return ((h ^ (h >> np.uint64(29))) & np.uint64(size - 1)).astype(np.int64)
 
 
-def _laid_out(stretches: list[str], seeds: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(prefix hash, begin of each character's stretch, seed of each, end positions); a sign that occurs nowhere else stands before each stretch."""
-    points = [np.concatenate([np.full(1, 2, np.uint32), code_points(s)]) for s in stretches]
-    lengths = np.array([len(p) for p in points], dtype=np.int64)
-    ends = np.cumsum(lengths)
-    return prefix_hash(np.concatenate(points)), np.repeat(ends - lengths, lengths), np.repeat(np.array(seeds, dtype=np.uint64), lengths), ends - 1
-
-
-def _going_on(prefix: np.ndarray, begin: np.ndarray, seed: np.ndarray, at: np.ndarray, k: int, size: int) -> np.ndarray:
-    return _slots(span_hash(prefix, np.maximum(begin[at], at - k + 1), at + 1) + seed[at] * _GOLD, size)
+def _laid_out(stretches: list[str], seeds: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(prefix hash, seed of each character, end positions) of stretches, each after signs that occur nowhere else; digits are all one."""
+    points = code_points("".join([PAD + s for s in stretches])).copy()
+    points[(points >= 48) & (points <= 57)] = 48
+    lengths = np.array([len(s) for s in stretches], dtype=np.int64) + len(PAD)
+    return prefix_hash(points), np.repeat(np.array(seeds, dtype=np.uint64), lengths), np.cumsum(lengths) - 1
 
 
-def _ending(prefix: np.ndarray, begin: np.ndarray, seed: np.ndarray, at: np.ndarray, kinds: np.ndarray, k: int, size: int) -> np.ndarray:
-    return _slots(span_hash(prefix, np.maximum(begin[at], at - k + 1), at + 1) + (seed[at] * np.uint64(len(FORMS)) + kinds + np.uint64(1000)) * _GOLD, size)
+def _ending(h: np.ndarray, seed: np.ndarray, kinds: np.ndarray, size: int) -> np.ndarray:
+    return _slots(h + (seed * np.uint64(len(FORMS)) + kinds + np.uint64(1000)) * _GOLD, size)
 
 
-def _read(batch: pa.RecordBatch) -> Iterator[tuple]:
-    """(index, table, group, number of the end, ends, what end_of tells) of each end in a batch."""
+def _read(batch: pa.RecordBatch, last_only: bool = False) -> Iterator[tuple]:
+    """(index, seed, what end_of tells) of each end in a batch."""
     for i, (table, grp, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("table_name", "grp", "text")), strict=True)):
         for stretch, several in line_ends(text) if text else []:
-            yield i, _seed(table, grp), end_of(stretch, several)
+            yield i, _seed(table, grp), end_of(stretch, several, last_only)
 
 
 def train(vals: DataFrame) -> dict[int, np.ndarray]:
@@ -173,18 +178,21 @@ def train(vals: DataFrame) -> dict[int, np.ndarray]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = {k: np.zeros((2, n), dtype=np.int64) for k, n in sizes.items()}
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                got = [x for x in _read(batch.slice(at, 200)) if x[2][0]]
+            for first in range(0, batch.num_rows, 100):
+                got = [x for x in _read(batch.slice(first, 100)) if x[2][0]]
                 if not got:
                     continue
                 kinds = np.array([x[2][1] for x in got], dtype=np.uint64)
-                prefix, begin, seed, ends = _laid_out([x[2][0] for x in got], [x[1] for x in got])
-                inner = np.delete(np.arange(len(begin)), ends)
+                seeds = np.array([x[1] for x in got])
+                prefix, seed, ends = _laid_out([x[2][0] for x in got], [x[1] for x in got])
                 for k in ORDERS:
-                    np.add.at(tables[k][0], _going_on(prefix, begin, seed, inner, k, sizes[k]), 1)
-                    np.add.at(tables[k][1], _ending(prefix, begin, seed, ends, kinds, k, sizes[k]), 1)
-                tables[0][0] += np.bincount(seed[inner].astype(np.int64), minlength=256)
-                tables[0][1] += np.bincount((seed[ends] * np.uint64(len(FORMS)) + kinds).astype(np.int64), minlength=256)
+                    h, at = window_hash(prefix, k), ends - (k - 1)
+                    on = _slots(h + seed[k - 1 :] * _GOLD, sizes[k])
+                    np.add.at(tables[k][0], on, 1)
+                    np.subtract.at(tables[k][0], on[at], 1)
+                    np.add.at(tables[k][1], _ending(h[at], seed[ends], kinds, sizes[k]), 1)
+                np.add.at(tables[0][0], seeds, [len(x[2][0]) - 1 for x in got])
+                np.add.at(tables[0][1], seeds * len(FORMS) + kinds.astype(np.int64), 1)
         rows = [(k, i, j, zlib.compress(t[i, j : j + SEGMENT].tobytes(), 1)) for k, t in tables.items() for i in (0, 1) for j in range(0, t.shape[1], SEGMENT) if t[i, j : j + SEGMENT].any()]
         cols = list(zip(*rows, strict=True)) or [[]] * 4
         yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["k", "i", "j", "raw"])
@@ -210,17 +218,19 @@ def train(vals: DataFrame) -> dict[int, np.ndarray]:
 
 def log_odds(tables: dict[int, np.ndarray], ends: list[tuple[str, int, int]]) -> np.ndarray:
     """For ends (characters, seed, class) that were trained on: how much likelier they are as ends than as places where text goes on."""
-    prefix, begin, seed, at = _laid_out([x[0][-12:] if len(x[0]) > 12 else x[0] for x in ends], [x[1] for x in ends])
+    # what is shortened has no beginning of its own, but no order reaches it
+    prefix, seed, ends_at = _laid_out([x[0][-12:] for x in ends], [x[1] for x in ends])
     kinds = np.array([x[2] for x in ends], dtype=np.uint64)
-    # the shortened beginning isn't one: no order reaches it
+    seed = seed[ends_at]
     own = np.array([1 if x[0] else 0 for x in ends])
-    ended = tables[0][1][(seed[at] * np.uint64(len(FORMS)) + kinds).astype(np.int64)] - own
-    went_on = tables[0][0][seed[at].astype(np.int64)]
+    ended = tables[0][1][(seed * np.uint64(len(FORMS)) + kinds).astype(np.int64)] - own
+    went_on = tables[0][0][seed.astype(np.int64)]
     out = np.zeros(len(ends))
     for k in ORDERS:
         size = tables[k].shape[1]
-        e = tables[k][1][_ending(prefix, begin, seed, at, kinds, k, size)] - own
-        o = tables[k][0][_going_on(prefix, begin, seed, at, k, size)]
+        h = window_hash(prefix, k)[ends_at - (k - 1)]
+        e = tables[k][1][_ending(h, seed, kinds, size)] - own
+        o = tables[k][0][_slots(h + seed * _GOLD, size)]
         on = (o + 0.5) / (went_on + (15.0 if k == 1 else 2.0))
         out += np.log((np.maximum(e, 0) + SMOOTHING * on) / (np.maximum(ended, 0) + SMOOTHING) / on)
         ended, went_on = e, o
@@ -242,7 +252,7 @@ def scored(vals: DataFrame, tables: dict[int, np.ndarray] | None = None) -> Data
         counts = np.zeros((2 * len(GROUPS), bins), dtype=np.int64)
         names = [x.split()[0] for x in SCORED.split(", ")]
         for batch in batches:
-            got = list(_read(batch))
+            got = list(_read(batch, True))
             if not got:
                 continue
             odds = log_odds(shared.value, [(x[2][0], x[1], x[2][1]) for x in got])

@@ -66,7 +66,7 @@ def test_forms(line, kind):
 
 def test_marks_of_cutting():
     assert truncation.end_of("the city aud…", False)[0::2] == ("the city aud", True) and truncation.end_of("the fee &am", False)[3]
-    assert truncation.end_of("Up 5 % [...]", False)[:3] == ("up 0 %", 0, True) and not truncation.end_of("It is so.", False)[2]
+    assert truncation.end_of("Up 5 % [...]", False)[:3] == ("up 5 %", 0, True) and not truncation.end_of("It is so.", False)[2]
 
 
 def test_valley():
