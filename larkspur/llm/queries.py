@@ -30,7 +30,7 @@ def p2_found(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
-    _, found = scan_noise.findings(read(spark, directory, "chunks"))
+    _, _, found = scan_noise.findings(read(spark, directory, "chunks"))
     return found.select("chunk_id", "noise_kind").distinct()
 
 

@@ -1,17 +1,19 @@
 """Noise in text from scanned pages: lines labelled by a hidden Markov model, words checked against the corpus.
 
-Each line at a page's edges is one of header, page number, both in one line, or body. Its features are its place on
-the page, its form, case, length and end, whether it recurs at the edges of the same source's pages, and whether it
-is the page's title. Emission and transition tables are counted over a sample of about `train_pages` pages, first with
-labels from plain patterns, then once more with the model's own labels (one step of Viterbi training); then all pages'
-lines are labelled by Viterbi. Lines between the first and last `edge` lines of a page are body and left out of the chain;
-paragraphs are put together by rules of length and form, so there is no state for breaks.
+Every line of a page is one of header, page number, both in one line, body, or break: body with which a paragraph ends, or a
+blank line. Its features are its place on the page, form, case, end and length, whether it recurs at the source's other pages
+or is the page's title, whether the next line's first word would have fitted, and how the next line begins. The model has naive
+Bayes emissions and first-order transitions. It is fitted by expectation maximisation (forward-backward, until the likelihood
+settles) on a sample of about `train_pages` pages, gathered as bytes of features; labels from plain patterns give the first
+model and stay in the counts with weight PRIOR, so that the states keep their meaning. Then the lines of all pages are
+labelled by Viterbi, and pages are put together by their labels: body goes on, a break ends its paragraph, the others are left out.
 
 Words divided over two lines are joined where the joined word, or one part of it, shows that they are one word.
 Misread words are those that turn into a much commoner word of the corpus when one confusion of a scanner is undone; of
-two-letter words only those with a digit, ! or |.
+two-letter words only those with a digit, ! or |. How often a word must be seen grows with the corpus.
 
-What is broadcast has a fixed size: bit tables (4 MB recurring lines, 1 MB misread words) and the model's tables.
+Recurring lines are counted and joined exactly. What is broadcast has a fixed size: a bit table (1 MB) of misread words, checked by a join
+afterwards, and the model.
 
 Defined results: null and empty texts have no noise and stay; a key that occurs again counts once, with its latest
 row; rows without key or of another type than `pdf` are left out. Other columns are ignored.
@@ -19,8 +21,6 @@ row; rows without key or of another type than `pdf` are left out. Other columns
 
 from __future__ import annotations
 
-import ast
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -35,9 +35,16 @@ from larkspur.llm.bits import bit_table, slots, unpacked
 from larkspur.session import materialize
 from larkspur.tables import latest
 
-STATES = ("header", "number", "both", "body")
-H, N, B, T = range(4)
-LINE_BITS, WORD_BITS = 25, 23
+STATES = ("header", "number", "both", "body", "break")
+H, N, B, T, K = range(5)
+FORMS = ("text", "blank", "both", "strong", "bare", "roman", "heading", "table", "numbered")
+CASES = ("lower", "title", "upper", "none")
+PLACE, FORM, CASE, END, LENGTH, KNOWN, ROOM, NEXT, WIDE = range(9)
+VALUES = (7, 9, 4, 4, 3, 3, 3, 5, 2)  # of each feature
+# What a state is: a header is text that ends no sentence or clause, a page number has the form of one.
+ALLOWED = {H: {FORM: ("text",), END: (0, 3)}, N: {FORM: ("strong", "bare", "roman")}, B: {FORM: ("both",)}}
+PRIOR = 0.5
+WORD_BITS = 23
 
 # What a scanner reads for what is printed.
 CONFUSIONS = {"c": "e", "0": "o", "5": "s", "!": "i", "1": "l", "cl": "d", "d": "cl", "|": "l", "9": "g", "b": "h", "rn": "m", "n": "ri", "vv": "w", "h": "li", "lt": "tt", "m": "rn", "6": "b", "8": "b"}
@@ -48,9 +55,10 @@ _STRONG = r"(?:[pP][aA][gG][eE]\s+[\dlIOo|!S]+(?:\s+of\s+\d+)?|[-–—]\s*\d+\s
 STRONG = re.compile(rf"^\s*{_STRONG}\s*$")
 BARE = re.compile(r"^\s*\d{1,4}\s*$")
 ROMAN = re.compile(r"^\s*(?=[ivxlcIVXLC])(?:[xX]{0,4}|[xX][lL]|[lL][xX]{0,3})(?:[iI][xX]|[iI][vV]|[vV]?[iI]{0,4})\s*$")
+NUMBERED = re.compile(r"^[^\W\d_]+\s+(?:\d[\d.]*|[IVXLC]+)$")
 _NUMBER = rf"(?:{_STRONG}|\d{{1,4}}|[ivxl]+)"
 BOTH = re.compile(rf"^\s*(?:{_NUMBER}\s{{2,}}(?P<a>\S.*\S)|(?P<b>\S.*\S)\s{{2,}}{_NUMBER})\s*$")
-HEADING = re.compile(r"^\s*(?:chapter|section|contents|fees for|fy\s?\d+|bring with|part|appendix|\d+\.\s|[-*•]\s|see also|https?:|[—–]\s)", re.IGNORECASE)
+HEADING = re.compile(r"^\s*(?:\d+[.)]\s|[-*•]\s|https?:|[—–]\s)")
 ENDS = re.compile(r"[.!?:;,][\"”’')\]]*\s*$")
 WORD = re.compile(r"(?:(?<![\w!|])[!|])?[^\W_][\w!|]*")
 LINK = re.compile(r"https?://\S+")
@@ -60,6 +68,14 @@ _FOLD = str.maketrans({"0": "o", "1": "l", "!": "l", "|": "l", "i": "l", "5": "s
 
 
 _inside: np.ndarray | None = None
+_tables: dict[str, np.ndarray] = {}
+
+
+def _table(name: str) -> np.ndarray:
+    """For each code point, whether a character method is true of it."""
+    if name not in _tables:
+        _tables[name] = np.fromiter((getattr(chr(i), name)() for i in range(0x110000)), dtype=bool, count=0x110000)
+    return _tables[name]
 
 
 def divided(text: str) -> list[tuple[int, str, str, str, int]]:
@@ -111,12 +127,6 @@ def hashed(items: list[str]) -> np.ndarray:
     return span_hash(prefix_hash(np.concatenate([*points, np.zeros(0, np.uint32)])), starts, ends).view(np.int64)
 
 
-def edge_lines(text: str, edge: int) -> list[tuple[int, str]]:
-    """(index, line) of the first and last lines that aren't blank."""
-    full = [(i, x) for i, x in enumerate(text.split("\n")) if x.strip()]
-    return full if len(full) <= 2 * edge else full[:edge] + full[-edge:]
-
-
 def recurring(line: str) -> str | None:
     """What must recur for a line to be a running one; None for lines that can't be."""
     line = line.strip()
@@ -127,97 +137,221 @@ def recurring(line: str) -> str | None:
     return folded(part) or None
 
 
-def is_prose(line: str, title: str) -> bool:
-    """A quick look: mostly words in small letters, and not the page's title."""
-    words = line.split()
-    return len(words) >= 5 and sum(w[0].islower() for w in words) > 0.55 * len(words) and line[:12].lower() != title[:12].lower()
+def read_lines(sources: list[str], titles: list[str], texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[int], np.ndarray]:
+    """(features of each line of all texts, number of lines of each text, lines that may recur, hash of each of these).
 
-
-def features(lines: list[tuple[int, str]], total: int, width: int, title: str, runs: set[str]) -> list[tuple]:
-    out, n = [], len(lines)
-    named = folded(re.sub(r"(?:,?\s*no\.?\s*\S+.*)$", "", title, flags=re.IGNORECASE))
-    for j, (_, line) in enumerate(lines):
-        x = line.strip()
-        place = min(j, 2) if j <= n - 1 - j else 5 - min(n - 1 - j, 2)
-        if is_prose(x, title):
-            out.append((place, "text", "lower", "end" if x[-1] in ".,;:?!" else "open", "short" if len(x) < 0.75 * width else "full", "new"))
-            continue
-        m = BOTH.match(x)
-        part = (m["a"] or m["b"]) if m else x
-        f = folded(part)
-        form = "both" if m else "strong" if STRONG.match(x) else "bare" if BARE.match(x) else "roman" if ROMAN.match(x) else "heading" if HEADING.match(x) else "text"
-        if form == "bare" and any(0 <= k < n and BARE.match(lines[k][1]) or 0 <= k < n and lines[k][1].rstrip().endswith((":", "totals")) for k in (j - 1, j + 1)):
-            form = "table"
-        letters = [w for w in re.findall(r"[^\W\d_]+", part) if len(w) > 3]
-        case = "none" if not letters else "upper" if part.upper() == part else "title" if sum(w[0].isupper() for w in letters) >= 0.6 * len(letters) else "lower"
-        length = "short" if len(part) < 0.75 * width else "full"
-        known = "run" if f and f in runs else "title" if len(named) > 8 and f.startswith(named[: max(8, len(named) - 6)]) else "new"
-        out.append((place, form, case, "end" if ENDS.search(x) else "open", length, known))
+    The numpy part looks at all lines at once; only lines that aren't plain running text are looked at one by one.
+    """
+    whole = "\n".join(texts) + "\n"
+    points = code_points(whole)
+    stop = np.flatnonzero(points == 10)
+    begin = np.concatenate([[0], stop[:-1] + 1])
+    page = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), begin, side="right")
+    many = np.bincount(page, minlength=len(texts))
+    space, low = _table("isspace")[points], _table("islower")
+    index = np.arange(len(points))
+    first = np.minimum.reduceat(np.where(space, len(points), index), begin)
+    last = np.maximum.reduceat(np.where(space, -1, index), begin)
+    blank = last < 0
+    first, last = np.where(blank, begin, first), np.where(blank, begin, last)
+    starts = ~space & np.concatenate([[True], space[:-1]])
+    words = np.add.reduceat(starts.astype(np.int32), begin)
+    small = np.add.reduceat((starts & low[points]).astype(np.int32), begin)
+    width = np.maximum.reduceat(stop - begin, np.cumsum(many) - many)[page]
+    length = last - first + 1
+    out = np.zeros((len(begin), len(VALUES)), dtype=np.uint8)
+    full = np.flatnonzero(~blank)
+    if len(full):
+        of = page[full]
+        per = np.bincount(of, minlength=len(texts))
+        j = np.arange(len(full)) - (np.cumsum(per) - per)[of]
+        left = per[of] - 1 - j
+        out[:, PLACE] = 6
+        out[full, PLACE] = np.where(np.minimum(j, left) > 2, 6, np.where(j <= left, np.minimum(j, 2), 5 - np.minimum(left, 2)))
+        char = points[last[full]]
+        inner = points[np.maximum(last[full] - 1, begin[full])]
+        char = np.where(np.isin(char, [ord(c) for c in "\"”’')]»"]), inner, char)
+        out[full, END] = np.select([np.isin(char, [ord(c) for c in ".?!"]), np.isin(char, [ord(c) for c in ":;,"]), np.isin(char, [ord("-"), 0xAD, 0x2010, 0xAC])], [1, 2, 3])
+        out[full, LENGTH] = length[full] >= 0.75 * width[full]
+        out[:, WIDE] = width >= 130
+        follows = np.concatenate([of[1:] == of[:-1], [False]])
+        after = np.concatenate([full[1:], full[-1:]])
+        gaps = np.flatnonzero(space)
+        word = gaps[np.searchsorted(gaps, first[after])] - first[after]
+        out[full, ROOM] = np.where(~follows, 2, length[full] + 1 + word < 0.8 * width[full])
+        head = points[first[after]]
+        out[full, NEXT] = np.select([~follows, after != full + 1, low[head], _table("isalpha")[head]], [3, 4, 0, 1], 2)
+    out[blank, FORM] = FORMS.index("blank")
+    plain = (words >= 5) & (small > 0.55 * words)
+    lines: list[int] = []
+    keys: list[str] = []
+    names: dict[int, str] = {}
+    for i in full.tolist():
+        title = titles[page[i]] or ""
+        x = None
+        if plain[i]:
+            if out[i, PLACE] == 6 or not title:
+                continue
+            x = whole[first[i] : last[i] + 1]
+            if x[:12].lower() != title[:12].lower():
+                continue
+        x = x or whole[first[i] : last[i] + 1]
+        if page[i] not in names:
+            names[page[i]] = folded(re.sub(r"(?:,?\s*no\.?\s*\S+.*)$", "", title, flags=re.IGNORECASE))
+        form, case, part = line_form(x)
+        out[i, FORM], out[i, CASE] = FORMS.index(form), CASES.index(case)
+        out[i, LENGTH] = 2 if " " not in part else len(part) >= 0.75 * width[i]
+        named, f = names[page[i]], folded(part)
+        if len(named) > 8 and f.startswith(named[: max(8, len(named) - 6)]):
+            out[i, KNOWN] = 1
+        if w := recurring(x):
+            lines.append(i)
+            keys.append(f"{sources[page[i]]}\n{w}")
+    bare = out[:, FORM] == FORMS.index("bare")
+    if bare.any():  # numbers one below the other, or below a colon, are a table
+        for k in np.flatnonzero(bare[full]).tolist():
+            beside = [full[m] for m in (k - 1, k + 1) if 0 <= m < len(full) and of[m] == of[k]]
+            if any(bare[m] for m in beside) or beside and beside[0] < full[k] and whole[last[beside[0]]] == ":":
+                out[full[k], FORM] = FORMS.index("table")
+    return out, many, lines, hashed(keys)
+
+
+def line_form(line: str) -> tuple[str, str, str]:
+    """(form, case, text beside a page number) of a line that isn't plain running text."""
+    m = BOTH.match(line)
+    part = (m["a"] or m["b"]) if m else line
+    form = "both" if m else "strong" if STRONG.match(line) else "bare" if BARE.match(line) else "roman" if ROMAN.match(line) else "heading" if HEADING.match(line) else "numbered" if NUMBERED.match(line) else "text"
+    letters = [w for w in re.findall(r"[^\W\d_]+", part) if len(w) > 3]
+    case = "none" if not letters else "upper" if part.upper() == part else "title" if sum(w[0].isupper() for w in letters) >= 0.6 * len(letters) else "lower"
+    return form, case, part
+
+
+def first_labels(f: np.ndarray) -> np.ndarray:
+    """Labels by plain patterns, which the model starts from."""
+    form, edge = f[:, FORM], np.isin(f[:, PLACE], (0, 1, 4, 5))
+    is_ = {name: form == i for i, name in enumerate(FORMS)}
+    capital = np.isin(f[:, CASE], (CASES.index("upper"), CASES.index("title")))
+    heading = is_["heading"] & (f[:, END] != 1)
+    ends = is_["blank"] | heading | (f[:, WIDE] == 1) | (f[:, ROOM] == 2) | (f[:, NEXT] == 4) | (f[:, ROOM] == 1) & (f[:, END] == 1)
+    out = np.where(ends, K, T)
+    out[is_["text"] & edge & np.isin(f[:, END], (0, 3)) & ((f[:, KNOWN] > 0) | (f[:, CASE] == CASES.index("upper")))] = H
+    out[is_["strong"] | is_["roman"] | is_["bare"] & edge] = N
+    out[is_["both"] & ((f[:, KNOWN] > 0) | capital)] = B
     return out
 
 
-def first_label(f: tuple) -> int:
-    place, form, case, end, length, known = f
-    if form == "both" and (known != "new" or case in ("upper", "title")):
-        return B
-    if form in ("strong", "roman") or form == "bare" and place in (0, 1, 4, 5):
-        return N
-    if form == "text" and place in (0, 1, 4, 5) and end == "open" and (known != "new" or case == "upper"):
-        return H
-    return T
+def steps(many: np.ndarray) -> list[np.ndarray]:
+    """The k-th lines of all pages that have one, for each k; pages go by their number of lines, most first."""
+    order = np.argsort(-many, kind="stable")
+    sizes, first = many[order], (np.cumsum(many) - many)[order]
+    return [first[: int(np.searchsorted(-sizes, -k, side="left"))] + k for k in range(int(sizes[0]) if len(sizes) else 0)]
 
 
 class Model:
-    """Naive Bayes emissions over the features, first-order transitions, add-one smoothing."""
-
-    def __init__(self, emitted: dict[tuple, int], moved: dict[tuple[int, int], int]) -> None:
-        self.emit: dict[tuple, list[float]] = {}
-        by_state = [0.0] * 4
-        single: dict[tuple[int, str, int], float] = Counter()
-        for (state, *f), k in emitted.items():
-            by_state[state] += k
-            for i, v in enumerate(f):
-                single[i, v, state] += k
-        kinds = Counter(i for i, v in {(i, v) for i, v, _ in single})
-        self.single = {(i, v): [math.log((single.get((i, v, s), 0) + 0.1) / (by_state[s] + 0.1 * kinds[i])) for s in range(4)] for i, v, _ in single}
-        out = [sum(moved.get((s, t), 0) for t in range(6)) for s in range(6)]
-        # 0-3 are states, 4 the page's begin, 5 its end
-        self.move = [[math.log((moved.get((s, t), 0) + 0.5) / (out[s] + 3)) for t in range(6)] for s in range(6)]
-
-    def label(self, fs: list[tuple]) -> list[int]:
-        if not fs:
-            return []
+    """Naive Bayes emissions over the features and first-order transitions; states 0 to 4, 5 the page's begin, 6 its end."""
+
+    def __init__(self, emitted: list[np.ndarray], moved: np.ndarray) -> None:
+        self.emit = [np.log((e + 0.1) / (e + 0.1).sum(axis=0)) for e in emitted]
+        for state, features in ALLOWED.items():
+            for i, values in features.items():
+                never = [v for v in range(VALUES[i]) if v not in [FORMS.index(x) if i == FORM else x for x in values]]
+                self.emit[i][never, state] = -50.0
+        self.move = np.log((moved + 0.5) / (moved + 0.5).sum(axis=1, keepdims=True))
+
+    def emissions(self, f: np.ndarray) -> np.ndarray:
+        return sum(e[f[:, i]] for i, e in enumerate(self.emit))
+
+    def label(self, f: np.ndarray, many: np.ndarray) -> np.ndarray:
+        """The likeliest states of the lines of each page, by Viterbi."""
+        out = np.full(len(f), T, dtype=np.int64)
+        if not len(f):
+            return out
+        e, move = self.emissions(f), self.move[:5, :5]
+        turns = steps(many)
         best, back = None, []
-        for f in fs:
-            if f not in self.emit:
-                self.emit[f] = [sum(self.single.get((i, v), [-3.0] * 4)[s] for i, v in enumerate(f)) for s in range(4)]
-            e = self.emit[f]
+        finals = np.zeros((len(turns[0]), 5))
+        for k, at in enumerate(turns):
+            n = len(at)
             if best is None:
-                best = [self.move[4][t] + e[t] for t in range(4)]
-                continue
-            step = [max(range(4), key=lambda s, t=t: best[s] + self.move[s][t]) for t in range(4)]
-            best = [best[step[t]] + self.move[step[t]][t] + e[t] for t in range(4)]
-            back.append(step)
-        at = max(range(4), key=lambda s: best[s] + self.move[s][5])
-        path = [at]
-        for step in reversed(back):
-            at = step[at]
-            path.append(at)
-        return path[::-1]
-
-
-def _page(source: str, title: str, text: str, edge: int, flags: np.ndarray) -> tuple[list[tuple[int, str]], list[tuple]]:
-    lines = edge_lines(text, edge)
-    if all(is_prose(x.strip(), title) for _, x in lines):
-        return [], []
-    wanted = [None if is_prose(x.strip(), title) else recurring(x) for _, x in lines]
-    known = [w for w in wanted if w]
-    runs: set[str] = set()
-    if known:
-        hit = flags[slots(hashed([f"{source}\n{w}" for w in known]), LINE_BITS)]
-        runs = {w for w, h in zip(known, hit.tolist(), strict=True) if h}
-    width = max((len(x) for x in text.split("\n")), default=0)
-    return lines, features(lines, len(lines), width, title, runs)
+                best = self.move[5, :5] + e[at]
+            else:
+                to = best[:n, :, None] + move
+                back.append(to.argmax(axis=1))
+                best = to.max(axis=1) + e[at]
+            done = len(turns[k + 1]) if k + 1 < len(turns) else 0
+            finals[done:n] = best[done:]
+        state = (finals + self.move[:5, 6]).argmax(axis=1)
+        for k in range(len(turns) - 1, -1, -1):
+            at, n = turns[k], len(turns[k])
+            out[at] = state[:n]
+            if k:
+                state[:n] = back[k - 1][np.arange(n), state[:n]]
+        return out
+
+    def expected(self, f: np.ndarray, many: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, float]:
+        """(expected emissions, expected moves, log-likelihood), by forward-backward."""
+        e = self.emissions(f)
+        top = e.max(axis=1, keepdims=True)
+        p, move = np.exp(e - top), np.exp(self.move)
+        turns = steps(many)
+        moved, like = np.zeros((7, 7)), float(top.sum())
+        alphas, scales, alpha = [], [], None
+        for at in turns:
+            alpha = (move[5, :5] if alpha is None else alpha[: len(at)] @ move[:5, :5]) * p[at]
+            scale = alpha.sum(axis=1, keepdims=True)
+            alpha = alpha / scale
+            alphas.append(alpha)
+            scales.append(scale)
+            like += float(np.log(scale).sum())
+        posterior = np.zeros((len(f), 5))
+        beta = np.zeros((0, 5))
+        for k in range(len(turns) - 1, -1, -1):
+            alpha, m = alphas[k], len(beta)
+            now = np.tile(move[:5, 6], (len(alpha), 1))
+            if m:
+                ahead = p[turns[k + 1]] * beta / scales[k + 1]
+                now[:m] = ahead @ move[:5, :5].T
+            total = (alpha * now).sum(axis=1, keepdims=True)
+            if m:
+                moved[:5, :5] += ((alpha[:m] / total[:m]).T @ ahead) * move[:5, :5]
+            posterior[turns[k]] = alpha * now / total
+            like += float(np.log(total[m:]).sum())
+            beta = now
+        if turns:
+            moved[5, :5] = posterior[turns[0]].sum(axis=0)
+            moved[:5, 6] = posterior[np.cumsum(many)[many > 0] - 1].sum(axis=0)
+        return counts(f, posterior), moved, like
+
+
+def counts(f: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+    return [np.stack([np.bincount(f[:, i], weights=weight[:, s], minlength=v) for s in range(5)], axis=1) for i, v in enumerate(VALUES)]
+
+
+def moves(states: np.ndarray, many: np.ndarray) -> np.ndarray:
+    out = np.zeros((7, 7))
+    ends = np.cumsum(many)[many > 0]
+    first = np.zeros(len(states), dtype=bool)
+    first[(ends - many[many > 0])] = True
+    np.add.at(out, (states[:-1][~first[1:]], states[1:][~first[1:]]), 1)
+    np.add.at(out, (5, states[first]), 1)
+    np.add.at(out, (states[ends - 1], 6), 1)
+    return out
+
+
+def fit(f: np.ndarray, many: np.ndarray, most_rounds: int = 50, settled: float = 1e-5) -> Model:
+    """Expectation maximisation from the first labels, until the likelihood changes by less than `settled` of itself."""
+    seeds = first_labels(f)
+    emitted, moved = counts(f, np.eye(5)[seeds]), moves(seeds, many)
+    model, before = Model(emitted, moved), None
+    if not len(f):
+        return model
+    for _ in range(most_rounds):
+        e, m, like = model.expected(f, many)
+        model = Model([x + PRIOR * y for x, y in zip(e, emitted, strict=True)], m + PRIOR * moved)
+        if before is not None and abs(like - before) <= settled * abs(before):
+            break
+        before = like
+    return model
 
 
 def pages(chunks: DataFrame) -> DataFrame:
@@ -225,38 +359,68 @@ def pages(chunks: DataFrame) -> DataFrame:
     return materialize(rows.where("type = 'pdf' and page_content is not null").drop("type"), "pages")
 
 
-def count_words(base: DataFrame, edge: int) -> DataFrame:
-    """(kind, item, n): corpus words with their counts, and hashes of lines at page edges with the number of their pages."""
+def read_pages(base: DataFrame) -> DataFrame:
+    """Words (item, n) with their counts in a task, and pages (chunk_id, features, lines, hashes): one pass over the texts."""
+
+    names = ["item", "n", "chunk_id", "features", "lines", "hashes"]
+
+    def of_words(words: Counter) -> pa.RecordBatch:
+        none = [pa.nulls(len(words), t) for t in (pa.string(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()))]
+        return pa.record_batch([pa.array([*words], pa.string()), pa.array([*words.values()], pa.int64()), *none], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter[str] = Counter()
-        lines: Counter[int] = Counter()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                sources, titles, texts = (c.to_pylist() for c in batch.slice(at, 1000).columns)
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
+                keys, sources, titles, texts = (c.to_pylist() for c in part.columns)
                 whole, begin, end, h, _ = word_spans([without_divided(LINK.sub(" ", t) if "http" in t else t) for t in texts])
-                _, first, n = np.unique(h, return_index=True, return_counts=True)
-                for i, j, k in zip(begin[first].tolist(), end[first].tolist(), n.tolist(), strict=True):
+                _, at, n = np.unique(h, return_index=True, return_counts=True)
+                for i, j, k in zip(begin[at].tolist(), end[at].tolist(), n.tolist(), strict=True):
                     if m := WORD.search(whole, i, j):
                         words[m[0]] += k
-                known: list[str] = []
-                for source, title, text in zip(sources, titles, texts, strict=True):
-                    known += {f"{source}\n{w}" for _, x in edge_lines(text, edge) if not is_prose(x.strip(), title or "") and (w := recurring(x))}
-                if known:
-                    lines.update(hashed(known).tolist())
-            if len(words) > 500_000 or len(lines) > 500_000:
-                yield out(words, lines)
-                words, lines = Counter(), Counter()
-        yield out(words, lines)
-
-    def out(words: Counter, lines: Counter) -> pa.RecordBatch:
-        return pa.record_batch(
-            [pa.array([0] * len(words) + [1] * len(lines), pa.int32()), pa.array([*words, *map(str, lines)], pa.string()), pa.array([*words.values(), *lines.values()], pa.int64())],
-            names=["kind", "item", "n"],
-        )
-
-    counted = base.select("source", "title", "page_content").mapInArrow(run, "kind int, item string, n long")
-    return counted.groupBy("kind", "item").agg(F.sum("n").alias("n"))
+                f, many, lines, hashes = read_lines(sources, titles, texts)
+                cuts = np.cumsum(many)
+                pick = np.searchsorted(cuts, lines, side="right")
+                by_page: list[tuple[list[int], list[int]]] = [([], []) for _ in keys]
+                for p, i, x in zip(pick.tolist(), lines, hashes.tolist(), strict=True):
+                    by_page[p][0].append(i - int(cuts[p] - many[p]))
+                    by_page[p][1].append(x)
+                raw = [f[c - m : c].tobytes() for c, m in zip(cuts.tolist(), many.tolist(), strict=True)]
+                columns = [pa.nulls(len(keys), pa.string()), pa.nulls(len(keys), pa.int64()), pa.array(keys, pa.string()), pa.array(raw, pa.binary())]
+                yield pa.record_batch([*columns, pa.array([x for x, _ in by_page], pa.list_(pa.int32())), pa.array([x for _, x in by_page], pa.list_(pa.int64()))], names=names)
+            if len(words) > 500_000:
+                yield of_words(words)
+                words = Counter()
+        yield of_words(words)
+
+    schema = "item string, n long, chunk_id string, features binary, lines array<int>, hashes array<bigint>"
+    return base.select("chunk_id", "source", "title", "page_content").mapInArrow(run, schema)
+
+
+def with_recurring(read: DataFrame) -> DataFrame:
+    """(chunk_id, features, again): `again` are the lines of a page that are on other pages of its source, too."""
+    some = read.where("chunk_id is not null")
+    each = some.select("chunk_id", F.explode(F.arrays_zip("lines", "hashes")).alias("x")).select("chunk_id", F.col("x.lines").alias("line"), F.col("x.hashes").alias("h"))
+    # a line twice on one page is on one page
+    often = each.groupBy("h").agg(F.min("chunk_id").alias("a"), F.max("chunk_id").alias("b")).where("a <> b").select("h")
+    again = each.join(often, "h").groupBy("chunk_id").agg(F.collect_list("line").alias("again"))  # lines of one page
+    return some.select("chunk_id", "features").join(again, "chunk_id", "left")
+
+
+def _features(raws: list[bytes], again: list[list[int] | None]) -> tuple[np.ndarray, np.ndarray]:
+    many = np.array([len(r) // len(VALUES) for r in raws], dtype=np.int64)
+    f = np.array(bytearray(b"".join(raws)), dtype=np.uint8).reshape(-1, len(VALUES))
+    begin = np.cumsum(many) - many
+    for b, lines in zip(begin.tolist(), again, strict=True):
+        for line in lines or ():
+            f[b + line, KNOWN] = 2
+    return f, many
+
+
+def seen(total: int) -> int:
+    """How often a word must be there to be one: twice, or once in 50 million words."""
+    return max(2, total // 50_000_000)
 
 
 def restored(word: str) -> list[str]:
@@ -273,8 +437,8 @@ def restored(word: str) -> list[str]:
     return sorted(out - {word})
 
 
-def misread_words(words: DataFrame) -> DataFrame:
-    """(word, printed): words that become much commoner when a confusion is undone."""
+def misread_words(words: DataFrame, total: int) -> DataFrame:
+    """(word, printed): words that become much commoner when a confusion is undone. `total`: how many words there are in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,84 +454,72 @@ def misread_words(words: DataFrame) -> DataFrame:
     forms = words.select("item", "n").mapInArrow(run, "word string, n long, form string")
     known = words.select(F.col("item").alias("form"), F.col("n").alias("of"))
     marked = F.col("word").rlike(r"[0-9!|]")
-    much = F.when(marked, F.col("of") >= F.greatest(F.lit(2), F.col("n"))).when(F.length("word") >= 5, F.col("of") >= F.greatest(F.lit(4), 8 * F.col("n"))).otherwise(F.col("of") >= 40 * F.col("n"))
+    much = F.when(marked, F.col("of") >= F.greatest(F.lit(seen(total)), F.col("n"))).when(F.length("word") >= 5, F.col("of") >= F.greatest(F.lit(2 * seen(total)), 8 * F.col("n"))).otherwise(F.col("of") >= 40 * F.col("n"))
     pairs = forms.join(known, "form").where(much)
     return pairs.groupBy("word").agg(F.max(F.struct("of", "form"))["form"].alias("printed"))
 
 
-def train(base: DataFrame, edge: int, table, start: Model | None) -> Model:  # noqa: ANN001
-    """Counts over the given pages; their number is bounded by the feature values, whatever the input."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags, emitted, moved = unpacked(table), Counter(), Counter()
-        for batch in batches:
-            for source, title, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                _, fs = _page(source, title or "", text, edge, flags)
-                states = start.label(fs) if start else [first_label(f) for f in fs]
-                emitted.update((s, *f) for s, f in zip(states, fs, strict=True))
-                if states:
-                    moved.update(zip([4, *states], [*states, 5], strict=True))
-        keys = [repr(k) for k in (*emitted, *moved)]
-        yield pa.record_batch([pa.array(keys, pa.string()), pa.array([*emitted.values(), *moved.values()], pa.int64())], names=["key", "n"])
-
-    counts = base.select("source", "title", "page_content").mapInArrow(run, "key string, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
-    got = {ast.literal_eval(r["key"]): r["n"] for r in counts}
-    return Model({k: v for k, v in got.items() if len(k) > 2}, {k: v for k, v in got.items() if len(k) == 2})
-
-
-def labelled(base: DataFrame, edge: int, model: Model, lines, misread) -> DataFrame:  # noqa: ANN001
-    """(chunk_id, what, a, b, at): what is header, number (at: line), certain or possible divided words (a, b), possibly misread word a."""
+def word_noise(base: DataFrame, misread) -> DataFrame:  # noqa: ANN001
+    """(chunk_id, what, a, b): certain or possible divided words (a, b), possibly misread word a."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags, bad = unpacked(lines), unpacked(misread)
+        bad = unpacked(misread)
         for batch in batches:
             rows: list[tuple] = []
-            keys, sources, titles, texts = (c.to_pylist() for c in batch.columns)
+            keys, texts = (c.to_pylist() for c in batch.columns)
             plain = [LINK.sub(" ", t) if "http" in t else t for t in texts]
             joined: list[tuple[str, str]] = []
-            for key, source, title, text, own in zip(keys, sources, titles, texts, plain, strict=True):
-                edges, fs = _page(source, title or "", text, edge, flags)
-                for (i, _), s in zip(edges, model.label(fs), strict=True):
-                    if s in (H, B):
-                        rows.append((key, "header", None, None, i))
-                    if s in (N, B):
-                        rows.append((key, "number", None, None, i))
+            for key, own in zip(keys, plain, strict=True):
                 for _, a, mark, b, _ in divided(own):
-                    rows.append((key, "maybe" if mark == "-" else "divided", a.lower(), b.lower(), None))
+                    rows.append((key, "maybe" if mark == "-" else "divided", a.lower(), b.lower()))
                     joined.append((key, (a + b).lower()))
-            for at in range(0, len(plain), 1000):
-                whole, begin, end, h, of = word_spans(plain[at : at + 1000])
+            for at in range(0, len(plain), 500):
+                whole, begin, end, h, of = word_spans(plain[at : at + 500])
                 for i in np.flatnonzero(bad[slots(h.view(np.int64), WORD_BITS)]).tolist():
-                    rows.append((keys[at + of[i]], "word", whole[begin[i] : end[i]], None, None))
+                    rows.append((keys[at + of[i]], "word", whole[begin[i] : end[i]], None))
             if joined:
                 hit = bad[slots(hashed([w for _, w in joined]), WORD_BITS)]
-                rows += [(key, "word", w, None, None) for (key, w), x in zip(joined, hit.tolist(), strict=True) if x]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = (batch.schema.field(0).type, pa.string(), pa.string(), pa.string(), pa.int32())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["chunk_id", "what", "a", "b", "at"])
+                rows += [(key, "word", w, None) for (key, w), x in zip(joined, hit.tolist(), strict=True) if x]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            yield pa.record_batch([pa.array(c, pa.string()) for c in cols], names=["chunk_id", "what", "a", "b"])
 
-    return base.select("chunk_id", "source", "title", "page_content").mapInArrow(run, "chunk_id string, what string, a string, b string, at int")
+    return base.select("chunk_id", "page_content").mapInArrow(run, "chunk_id string, what string, a string, b string")
 
 
-def findings(chunks: DataFrame, edge: int = 3, train_pages: int = 20_000) -> tuple[DataFrame, DataFrame]:
-    """(pages, findings): findings (chunk_id, noise_kind, a, b, at) with what was found where; b is the printed form of a misread a."""
+def labelled(read: DataFrame, count: int, train_pages: int) -> DataFrame:
+    """(chunk_id, labels): the state of each line of each page, a byte each."""
+    lines = materialize(with_recurring(read), "lines")
+    share = min(1.0, train_pages / max(1, count))
+    sample = lines.where(F.pmod(F.xxhash64("chunk_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("features", "again").toArrow()
+    shared = read.sparkSession.sparkContext.broadcast(fit(*_features(sample.column(0).to_pylist(), sample.column(1).to_pylist())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f, many = _features(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+            labels, cuts = shared.value.label(f, many).astype(np.uint8), np.cumsum(many)
+            raw = [labels[c - m : c].tobytes() for c, m in zip(cuts.tolist(), many.tolist(), strict=True)]
+            yield pa.record_batch([batch.column(0), pa.array(raw, pa.binary())], names=["chunk_id", "labels"])
+
+    return lines.select("chunk_id", "features", "again").mapInArrow(run, "chunk_id string, labels binary")
+
+
+def findings(chunks: DataFrame, train_pages: int = 20_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pages, labels of their lines, findings): findings (chunk_id, noise_kind, a, b) tell what was found; b is the printed form of a misread a."""
     base = pages(chunks)
-    counted = materialize(count_words(base, edge), "words")
-    words = counted.where("kind = 0").select("item", "n")
-    lines = bit_table(counted.where("kind = 1 and n >= 2").select(F.col("item").cast("long")), LINE_BITS)
-    wrong = materialize(misread_words(words), "misread")
+    read = materialize(read_pages(base), "read")
+    words = materialize(read.where("item is not null").groupBy("item").agg(F.sum("n").alias("n")), "words")
+    count, total = base.count(), words.agg(F.sum("n")).first()[0] or 0
+    wrong = materialize(misread_words(words, total), "misread")
+    labels = materialize(labelled(read, count, train_pages), "labels")
 
     def hash_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.record_batch([pa.array(hashed(batch.column(0).to_pylist()), pa.int64())], names=["h"])
 
     misread = bit_table(wrong.select("word").mapInArrow(hash_words, "h long"), WORD_BITS)
-    share = min(1.0, train_pages / max(1, base.count()))
-    sample = base.where(F.pmod(F.xxhash64("chunk_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    model = train(sample, edge, lines, train(sample, edge, lines, None))
-    got = materialize(labelled(base, edge, model, lines, misread), "lines")
+    got = materialize(word_noise(base, misread), "noise")
 
-    known = words.where("n >= 2").select("item")
+    known = words.where(F.col("n") >= seen(total)).select("item")
     maybe = got.where("what = 'maybe'").select("chunk_id", "a", "b")
     pair = maybe.select("a", "b").distinct()
     pair = pair.join(known.select(F.col("item").alias("a"), F.lit(True).alias("has_a")), "a", "left").join(known.select(F.col("item").alias("b"), F.lit(True).alias("has_b")), "b", "left")
@@ -375,39 +527,42 @@ def findings(chunks: DataFrame, edge: int = 3, train_pages: int = 20_000) -> tup
     # both parts words of their own and the whole none: a compound broken at its own hyphen
     one = pair.where(F.coalesce("has_j", F.lit(False)) | ~(F.coalesce("has_a", F.lit(False)) & F.coalesce("has_b", F.lit(False)))).select("a", "b")
     kind = F.lit
-    none_s, none_i = F.lit(None).cast("string"), F.lit(None).cast("int")
-    hyphen = maybe.join(one, ["a", "b"]).select("chunk_id", "a", "b").union(got.where("what = 'divided'").select("chunk_id", "a", "b")).select("chunk_id", kind("hyphen").alias("noise_kind"), "a", "b", none_i.alias("at"))
-    words_bad = got.where("what = 'word'").select("chunk_id", F.col("a").alias("word")).join(wrong, "word").select("chunk_id", kind("misread").alias("noise_kind"), F.col("word").alias("a"), F.col("printed").alias("b"), none_i.alias("at"))
-    edges = got.where("what in ('header', 'number')").select("chunk_id", F.when(F.col("what") == "number", "page_number").otherwise("header").alias("noise_kind"), none_s.alias("a"), none_s.alias("b"), "at")
-    return base, hyphen.union(words_bad).union(edges)
+    hyphen = maybe.join(one, ["a", "b"]).select("chunk_id", "a", "b").union(got.where("what = 'divided'").select("chunk_id", "a", "b")).select("chunk_id", kind("hyphen").alias("noise_kind"), "a", "b")
+    words_bad = got.where("what = 'word'").select("chunk_id", F.col("a").alias("word")).join(wrong, "word").select("chunk_id", kind("misread").alias("noise_kind"), F.col("word").alias("a"), F.col("printed").alias("b"))
+    hexed, none = F.hex("labels"), F.lit(None).cast("string")
+    has = [(hexed.rlike("^(..)*(00|02)"), "header"), (hexed.rlike("^(..)*(01|02)"), "page_number")]
+    edges = labels.select("chunk_id", F.explode(F.array_compact(F.array(*[F.when(test, name) for test, name in has]))).alias("noise_kind"), none.alias("a"), none.alias("b"))
+    return base, labels, hyphen.union(words_bad).union(edges)
 
 
-def repaired(chunks: DataFrame, edge: int = 3) -> DataFrame:
+def repaired(chunks: DataFrame, train_pages: int = 20_000) -> DataFrame:
     """(chunk_id, text, changes): pages as continuous paragraphs, without page furniture, divided words joined, misread words restored."""
-    base, found = findings(chunks, edge)
-    per_page = found.groupBy("chunk_id").agg(F.collect_set(F.struct("noise_kind", "a", "b", "at")).alias("found"))  # bounded by the page itself
+    base, labels, found = findings(chunks, train_pages)
+    per_page = found.where("a is not null").groupBy("chunk_id").agg(F.collect_set(F.struct("noise_kind", "a", "b")).alias("found"))  # bounded by the page itself
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, changes = [], []
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                text, n = rebuild(text, found or [])
+            for text, states, found in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                text, n = rebuild(text, states, found or [])
                 texts.append(text)
                 changes.append(n)
             yield pa.record_batch([batch.column(0), pa.array(texts, pa.string()), pa.array(changes, pa.int32())], names=["chunk_id", "text", "changes"])
 
-    return base.select("chunk_id", "page_content").join(per_page, "chunk_id", "left").select("chunk_id", "page_content", "found").mapInArrow(run, "chunk_id string, text string, changes int")
+    joined = base.select("chunk_id", "page_content").join(labels, "chunk_id").join(per_page, "chunk_id", "left")
+    return joined.select("chunk_id", "page_content", "labels", "found").mapInArrow(run, "chunk_id string, text string, changes int")
 
 
-def rebuild(text: str, found: list[dict]) -> tuple[str, int]:
-    drop = {f["at"] for f in found if f["noise_kind"] in ("header", "page_number")}
+def rebuild(text: str, states: bytes, found: list[dict]) -> tuple[str, int]:
+    """A page's text put together by the states of its lines, and how many changes that took."""
     joins = {(f["a"], f["b"]) for f in found if f["noise_kind"] == "hyphen"}
     printed = {f["a"]: f["b"] for f in found if f["noise_kind"] == "misread"}
-    text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop)
-    out, at = [], 0
+    kept = [(x, s) for x, s in zip(text.split("\n"), states, strict=True) if s in (T, K)]
+    dropped = len(states) - len(kept)
+    text, out, at = "\n".join(x for x, _ in kept), [], 0
     for begin, a, _, b, end in divided(text):
         if begin >= at and (a.lower(), b.lower()) in joins:
-            out += [text[at:begin], a, b, "\n"]
+            out += [text[at:begin], a, b, "\n"]  # the line's end moves behind the word
             at = end
     text = "".join([*out, text[at:]])
 
@@ -419,20 +574,13 @@ def rebuild(text: str, found: list[dict]) -> tuple[str, int]:
 
     if printed:
         text = WORD.sub(word, text)
-    lines = text.split("\n")
-    width = max((len(x) for x in lines), default=0)
     paragraphs: list[str] = []
     fresh = True
-    for i, line in enumerate(lines):
+    for line, (_, state) in zip(text.split("\n"), kept, strict=False):
         x = line.strip()
-        if not x:
-            fresh = True
-            continue
-        if fresh or HEADING.match(x) or STRONG.match(x) or BARE.match(x):
+        if x and fresh:
             paragraphs.append(x)
-        else:
+        elif x:
             paragraphs[-1] += ("" if paragraphs[-1].endswith("-") else " ") + x
-        after = lines[i + 1].strip().split(" ")[0] if i + 1 < len(lines) else ""
-        # a line that had room for the next word ends its paragraph
-        fresh = bool(HEADING.match(x) and not ENDS.search(x)) or width < 130 and ENDS.search(x) is not None and len(x) + 1 + len(after) < 0.8 * width or width >= 130
-    return "\n\n".join(paragraphs), len(drop) + len(joins) + len(printed)
+        fresh = state == K or fresh and not x
+    return "\n\n".join(paragraphs), dropped + len(joins) + len(printed)

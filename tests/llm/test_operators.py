@@ -107,7 +107,7 @@ def test_page(spark):
     rows = [(f"c{i}", f"Notes on Fee Disputes in Arbelport 2010 — working copy\n{body[i]}\na certified copy of the rele-\nase in Tamselport, where the aud1tor said so again.\nPage {i + 3} of 20", title, "pdf", "s", None) for i in range(6)]
     rows += [(f"d{i}", f"{sentence} release again.\n\nAnother paragraph about the auditor of Tamselport and internal-\naffairs files, with internal affairs in it.", "Other", "pdf", "t", None) for i in range(30)]
     df = spark.createDataFrame(rows, "chunk_id string, page_content string, title string, type string, source string, ingested_at timestamp")
-    _, found = scan_noise.findings(df)
+    _, _, found = scan_noise.findings(df)
     got = defaultdict(set)
     for r in found.collect():
         got[r.chunk_id].add(r.noise_kind)
@@ -117,11 +117,69 @@ def test_page(spark):
     assert text == f"On page 2 {sentence} a certified copy of the release in Tamselport, where the auditor said so again."
 
 
+def test_trained_model_beats_its_seeds():
+    """A running header that is misread recurs nowhere, so the patterns miss it; what stands beside it tells the model."""
+    import numpy as np
+
+    rng = random.Random(3)
+    lines, many, truth = [], [], []
+    for i in range(600):
+        lone = i % 5 == 0  # the header's text is on no other page
+        page = [((0, 0, 1, 0, 1, 0 if lone else 2, 1, 2, 0), scan_noise.H), ((1, scan_noise.FORMS.index("bare"), 3, 0, 2, 0, 1, 1, 0), scan_noise.N)]
+        body = [((2 if k == 0 else 6, 0, 0, 0, 1, 0, 0, 0, 0), scan_noise.T) for k in range(rng.randrange(2, 9))]
+        page += [*body, ((5, 0, 0, 1, 0, 0, 2, 3, 0), scan_noise.K)]
+        if i % 3 == 0:  # a title within a page, of the same form
+            page.insert(4, ((6, 0, 1, 0, 0, 0, 1, 1, 0), scan_noise.K))
+        lines += [f for f, _ in page]
+        truth += [t for _, t in page]
+        many.append(len(page))
+    f, many, truth = np.array(lines, dtype=np.uint8), np.array(many), np.array(truth)
+    seeds, model = scan_noise.first_labels(f), scan_noise.fit(f, many).label(f, many)
+
+    def right(labels):
+        return sum((labels == truth)[truth == s].sum() for s in (scan_noise.H, scan_noise.N)) / (truth < 2).sum(), (labels[truth > 2] < 3).sum()
+
+    print(right(seeds), right(model))
+    assert right(seeds)[0] < 0.93 and right(model)[0] > 0.98 and right(model)[1] == 0
+    assert (np.bincount(model, minlength=5)[[scan_noise.T, scan_noise.K]] > 0).all()
+
+
+def test_likelihood_rises():
+    """Forward-backward agrees with a sum over all paths, and a round of it doesn't lower the likelihood."""
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    many = np.array([3, 1, 2])
+    f = np.stack([rng.integers(0, v, 6) for v in scan_noise.VALUES], axis=1).astype(np.uint8)
+    model = scan_noise.Model([rng.random((v, 5)) * 9 for v in scan_noise.VALUES], rng.random((7, 7)) * 9)
+    e, at, want = model.emissions(f), 0, 0.0
+    for n in many:
+        paths = [model.move[5, p[0]] + model.move[p[-1], 6] + sum(e[at + i, s] for i, s in enumerate(p)) + sum(model.move[a, b] for a, b in zip(p, p[1:])) for p in itertools.product(range(5), repeat=int(n))]
+        best = max(itertools.product(range(5), repeat=int(n)), key=lambda p: model.move[5, p[0]] + model.move[p[-1], 6] + sum(e[at + i, s] for i, s in enumerate(p)) + sum(model.move[a, b] for a, b in zip(p, p[1:])))
+        assert tuple(model.label(f, many)[at : at + n]) == best
+        want += np.logaddexp.reduce(paths)
+        at += n
+    emitted, moved, like = model.expected(f, many)
+    assert abs(like - want) < 1e-9 and abs(moved.sum() - 9) < 1e-9 and abs(emitted[0].sum() - 6) < 1e-9
+
+
+def test_lines_are_read():
+    """Features of every line, those in the middle and blank ones included."""
+    text = "THE COUNTY REPORT\n12\nthe first line of it goes on to\nthe second line, which is long\nand ends here.\n\nChapter 4\nthe next one starts and then it goes\nPage 7\non."
+    f, many, lines, hashes = scan_noise.read_lines(["s", "s"], ["T", None], [text, ""])
+    forms = [scan_noise.FORMS[x] for x in f[:, scan_noise.FORM]]
+    assert many.tolist() == [10, 1] and forms == ["text", "bare", "text", "text", "text", "blank", "numbered", "text", "strong", "text", "blank"]
+    assert f[:10, scan_noise.PLACE].tolist() == [0, 1, 2, 6, 6, 6, 6, 3, 4, 5] and f[2, scan_noise.NEXT] == 0 and f[4, scan_noise.NEXT] == 4
+    assert 0 in lines and len(hashes) == len(lines)
+
+
 def test_two_letter_misreads(spark):
     rows = [("a", "This is what the panel read 0N shield statutes in the spring session."), ("b", "This is what the panel gave t0 the editor in the spring session."), ("c", "This is what the panel wrote as draft v2 in the spring session.")]
     rows += [(f"d{i}", f"Notes on the guide to prior restraint, as given to editor number {i} on shield statutes.") for i in range(10)]
     df = spark.createDataFrame(rows, "chunk_id string, page_content string").selectExpr("*", "'T' as title", "'pdf' as type", "'s' as source", "timestamp'2024-01-01' as ingested_at")
-    got = {(r.chunk_id, r.a, r.b) for r in scan_noise.findings(df)[1].where("noise_kind = 'misread'").collect()}
+    got = {(r.chunk_id, r.a, r.b) for r in scan_noise.findings(df)[2].where("noise_kind = 'misread'").collect()}
     assert got == {("a", "0n", "on"), ("b", "t0", "to")}
     text = {r.chunk_id: r.text for r in scan_noise.repaired(df).collect()}
     assert "read ON shield" in text["a"] and "gave to the" in text["b"] and "v2" in text["c"]
