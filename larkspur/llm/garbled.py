@@ -2,8 +2,8 @@
 
 A word here is a run of ASCII letters and non-ASCII characters with at least one of the latter; garbling never turns
 such a character into an ASCII one, so a garbled word is a run, too. The distinct words of the corpus are counted, all
-garbled forms of the clean ones are generated under every chain of encodings below, and the corpus words are hash-joined
-with these forms. What is met is garbled; it is replaced by the commonest original. Forms that only swap one
+garbled forms of the clean ones are generated under every chain of encodings below, and the corpus words are joined with
+the hashes of these forms and then checked. What is met is garbled; it is replaced by the commonest original. Forms that only swap one
 single-byte encoding for another can be words of another language, so they must also be rarer than their original, or
 mix two alphabets.
 
@@ -30,7 +30,6 @@ from larkspur.llm.scan_noise import hashed
 from larkspur.session import materialize
 
 WORD_BITS = 23
-LONGEST_WORD = 64
 # The encodings of the chains.
 READ_AS = ["cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "cp1254", "cp1257", "cp437", "cp850", "cp852", "cp866", "mac_roman", "iso8859-2", "iso8859-15", "koi8-r"]
 WRITTEN_IN = list(dict.fromkeys(["cp1252", "cp1250", "mac_roman", "cp437", "cp850", *READ_AS]))
@@ -154,7 +153,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if not text.isascii() or "&" in text:
-                    words.update(w for w in RUN.findall(plain(text)) if len(w) <= LONGEST_WORD)
+                    words.update(RUN.findall(plain(text)))
             if len(words) > 500_000:
                 yield pa.record_batch([pa.array([*words], pa.string()), pa.array([*words.values()], pa.int64())], names=["word", "n"])
                 words = Counter()
@@ -163,18 +162,45 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def with_hashes(words: DataFrame) -> DataFrame:
+    """(word, n, h)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([*batch.columns, pa.array(hashed(batch.column(0).to_pylist()), pa.int64())], names=["word", "n", "h"])
+
+    return words.mapInArrow(run, "word string, n long, h long")
+
+
 def garbled_words(words: DataFrame) -> DataFrame:
-    """(word, original, chain): the corpus words that are garbled; original is null where it can't be restored."""
+    """(word, original, chain): the corpus words that are garbled; original is null where it can't be restored.
+
+    The table of forms holds hashes, so words of any length take the same room in it; what is met is checked letter by letter.
+    """
 
     def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rows, each = [], []
+            for word, n, h in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if REPLACED in word or scripts(word) > 1 or reversed_once(word) or any("\x80" <= c <= "\x9f" for c in word):
                     continue  # not clean itself
-                rows += [(f, word, n, chain, swap and scripts(f) < 2) for f, (chain, swap) in garbled_forms(word).items()]
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_()), strict=True)], names=["word", "original", "of", "chain", "swap"])
+                for f, (_, swap) in garbled_forms(word).items():
+                    each.append(f)
+                    rows.append((h, n, swap and scripts(f) < 2))
+                if len(each) > 50_000:
+                    yield out(each, rows)
+                    rows, each = [], []
+            yield out(each, rows)
+
+    def out(each: list[str], rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) or [[]] * 3
+        return pa.record_batch([pa.array(hashed(each), pa.int64()), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_()), strict=True))], names=["h", "oh", "of", "swap"])
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chains = [garbled_forms(original).get(word) for word, original in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            keep = pa.array([c is not None for c in chains], pa.bool_())
+            yield pa.record_batch([*batch.columns, pa.array([c and c[0] for c in chains], pa.string())], names=["word", "original", "of", "swap", "chain"]).filter(keep)
 
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,9 +214,12 @@ def garbled_words(words: DataFrame) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [[]] * 3
             yield pa.record_batch([pa.array(c, pa.string()) for c in cols], names=["word", "original", "chain"])
 
-    table = words.mapInArrow(forms, "word string, original string, of long, chain string, swap boolean")
-    met = words.join(table, "word").where(~F.col("swap") | (F.length("word") >= 3) & (F.col("of") >= 3 * F.col("n")) & F.col("original").rlike(r"[A-Za-z]{2}"))
+    table = words.select("word", "n", "h").mapInArrow(forms, "h long, oh long, of long, swap boolean")
+    originals = words.select(F.col("h").alias("oh"), F.col("word").alias("original"))
+    met = words.join(table, "h").where(~F.col("swap") | (F.length("word") >= 3) & (F.col("of") >= 3 * F.col("n"))).join(originals, "oh")
+    met = met.where(~F.col("swap") | F.col("original").rlike(r"[A-Za-z]{2}")).select("word", "original", "of", "swap").mapInArrow(checked, "word string, original string, of long, swap boolean, chain string")
     best = met.groupBy("word").agg(F.max(F.struct(~F.col("swap"), "of", "original", "chain")).alias("x")).select("word", "x.original", "x.chain")
+    best = materialize(best, "best")
     rest = words.join(best.select("word"), "word", "left_anti").select("word").mapInArrow(direct, "word string, original string, chain string")
     return best.union(rest)
 
@@ -198,7 +227,7 @@ def garbled_words(words: DataFrame) -> DataFrame:
 def findings(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents, findings): findings (doc_id, word, original, chain), one row per garbled word or stretch of a document."""
     docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    words = materialize(count_words(docs), "words")
+    words = materialize(with_hashes(count_words(docs)), "words")
     garbled = materialize(garbled_words(words), "garbled")
 
     def hash_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,11 +245,7 @@ def findings(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
                     continue
                 text = plain(text)
                 rows += [(key, text[a:b], p, "utf-8>utf-16", True) for a, b, p in wide_stretches(text)]
-                for w in set(RUN.findall(text)):
-                    if len(w) <= LONGEST_WORD:
-                        maybe.append((key, w))
-                    elif got := restored_directly(w):
-                        rows.append((key, w, *got, True))
+                maybe += [(key, w) for w in set(RUN.findall(text))]
                 if REPLACED in text:
                     rows.append((key, REPLACED, None, "unknown", True))
             if maybe:

@@ -7,7 +7,7 @@ same language) that can give more, in proportion to their weights, then to other
 other domains. From each leaf whole epochs are taken and then a prefix of a last epoch, whose order is a seeded hash.
 
 Without `total_tokens` the total is the largest one at which no source is short, so all shares are met; a larger total
-makes small sources fall short, and the report shows it. A text counts once, whatever ids it has: it belongs to the
+makes small sources fall short, and the report shows it; "all" stands for as many tokens as the targeted sources have. A text counts once, whatever ids it has: it belongs to the
 source of its smallest id among sources with a target, and is used at most `max_repeats` times.
 
 The prefix is found in two steps, so that no task sees a whole leaf: sums over 4,096 ranges of the hash tell in which
@@ -60,7 +60,7 @@ def texts(documents: DataFrame, targets: DataFrame, tokenizer: str) -> DataFrame
     return one.select("text_hash", "x.doc_id", "x.lang", "x.source", "x.tokens").where("tokens > 0")
 
 
-def budgets(leaves: list[dict], total: float | None) -> list[dict]:
+def budgets(leaves: list[dict], total: float | str | None) -> list[dict]:
     """leaves: lang, source, tokens, target_share, max_repeats. Adds budget and its whole epochs."""
     by_source: dict[str, float] = {}
     for x in leaves:
@@ -70,6 +70,8 @@ def budgets(leaves: list[dict], total: float | None) -> list[dict]:
     repeats = {x["source"]: max(1, x["max_repeats"] or 1) for x in leaves}
     if total is None:
         total = min((by_source[s] * repeats[s] * norm / shares[s] for s in shares), default=0.0)
+    elif total == "all":
+        total = float(sum(by_source.values()))
     path = {("documents", x["lang"] or "", x["source"]): x for x in leaves}
     weights = {p: shares[x["source"]] / norm * x["tokens"] / by_source[x["source"]] for p, x in path.items()}
     room = {p: float(x["tokens"] * repeats[x["source"]]) for p, x in path.items()}
@@ -77,7 +79,7 @@ def budgets(leaves: list[dict], total: float | None) -> list[dict]:
     return [x | {"budget": got[p], "epochs": int((got[p] + 1e-6) // x["tokens"])} for p, x in path.items()]
 
 
-def mixed(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, tokenizer: str = RANKS, seed: int = 7, rounds: int = 4, max_leaves: int = 100_000) -> tuple[DataFrame, DataFrame]:
+def mixed(documents: DataFrame, targets: DataFrame, total_tokens: float | str | None = None, tokenizer: str = RANKS, seed: int = 7, rounds: int = 4, max_leaves: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """(uses, targets): uses (doc_id, source, lang, tokens, uses), one row per text used."""
     spark = documents.sparkSession
     one_target = targets.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))

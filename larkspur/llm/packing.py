@@ -5,12 +5,12 @@ other. Items are dealt into groups of about `group_items` by hash. A group's pac
 chromosome is a packing, crossover injects the other parent's best filled containers, containers that hold an injected
 item are dissolved, and their other items are put back where they fit best. After each epoch every island's elite
 moves to the next island. A group's best packing keeps its well filled containers; the items of the others are
-displaced into fewer, mixed groups for the next level, until one group is left. Fitness is the mean of (fill / capacity)**2.
+displaced into fewer, mixed groups for the next level, until one group is left (or most items are displaced once more). Fitness is the mean of (fill / capacity)**2.
 
 A group is bounded by `group_items`, so is each task's work; all groups and islands run at once.
 
 Defined results: null and empty texts have no tokens and are in no container; a capacity that is null or below 1 is
-left out; equal texts under different ids are packed each. Container numbers are unique within a kind. Results are
+left out; equal texts under different ids are packed each; a doc_id that occurs again is packed once, with its longest text. Container numbers are unique within a kind. Results are
 the same for the same input and seed.
 """
 
@@ -86,9 +86,21 @@ def mutated(a: Packing, rng: random.Random) -> Packing:
 
 
 def evolve(sizes: list[int], capacity: int, given: list[list[list[int]]], seed: int, population: int, generations: int) -> list[Packing]:
-    """The population after some generations, best first; `given` packings are in the first one."""
+    """The population after some generations, best first; `given` packings are in the first one.
+
+    Nothing is done beyond the first packing that has the least possible number of containers.
+    """
     rng = random.Random(seed)
-    people = [Packing(sizes, capacity, b) for b in given]
+    least = -(-sum(sizes) // capacity)
+    people: list[Packing] = []
+
+    def finished(p: Packing) -> bool:
+        people.append(p)
+        return len(p.bins) <= least
+
+    for b in given:
+        if finished(Packing(sizes, capacity, b)):
+            return people[::-1]
     while len(people) < population:
         p = Packing(sizes, capacity)
         order = list(range(len(sizes)))
@@ -98,15 +110,15 @@ def evolve(sizes: list[int], capacity: int, given: list[list[list[int]]], seed:
             p.insert(order[len(order) // 4 :])
         else:
             p.insert(order)
-        people.append(p)
-    least = -(-sum(sizes) // capacity)
+        if finished(p):
+            return people[::-1]
     score = [(p.fitness(), -k) for k, p in enumerate(people)]
     for _ in range(generations):
-        best = max(range(len(people)), key=lambda k: score[k])
-        if len(people[best].bins) <= least:
-            break
         a, b = (max(rng.sample(range(len(people)), 2), key=lambda k: score[k]) for _ in range(2))
         child = mutated(people[a], rng) if a == b or rng.random() < 0.3 else crossed(people[a], people[b], rng)
+        if finished(child):
+            return people[::-1]
+        people.pop()
         worst = min(range(len(people)), key=lambda k: score[k])
         people[worst], score[worst] = child, (child.fitness(), -worst)
     return [people[k] for k in sorted(range(len(people)), key=lambda k: (-score[k][0], k))]
@@ -151,7 +163,7 @@ def _epoch(groups: DataFrame, islands: int, epoch: int, seed: int, population: i
     return spread.mapInArrow(run, GROUP + ", island int, elite array<int>, fit double")
 
 
-def _level(items: DataFrame, target: float, how: dict, level: int, last: bool) -> tuple[DataFrame, DataFrame]:
+def _level(items: DataFrame, loss: float, how: dict, level: int, last: bool) -> tuple[DataFrame, DataFrame]:
     """(packed items, displaced items) of one level; items has container_kind, capacity, grp, doc_id, piece, size."""
     groups = items.groupBy("container_kind", "capacity", "grp").agg(F.array_sort(F.collect_list(F.struct("doc_id", "piece", "size"))).alias("x"))
     groups = groups.select("container_kind", "capacity", "grp", F.transform("x", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["piece"].alias("piece"))).alias("ids"), F.transform("x", lambda x: x["size"]).alias("sizes"))
@@ -168,14 +180,15 @@ def _level(items: DataFrame, target: float, how: dict, level: int, last: bool) -
     placed = placed.select("container_kind", "capacity", "grp", "x.ids.doc_id", "x.ids.piece", F.col("x.sizes").alias("size"), F.col("x.best").alias("bin"))
     fill = groups.select("container_kind", "capacity", "grp", F.explode(F.arrays_zip("sizes", "best")).alias("x")).groupBy("container_kind", "grp", F.col("x.best").alias("bin")).agg(F.sum("x.sizes").alias("fill"))
     placed = materialize(placed.join(fill, ["container_kind", "grp", "bin"]), "placed")
-    good = F.lit(True) if last else F.col("fill") >= target * F.col("capacity")
+    # a container stays if it has lost little of its capacity, or no more than two tokens
+    good = F.lit(True) if last else F.col("capacity") - F.col("fill") <= F.greatest(F.lit(2.0), loss * F.col("capacity"))
     packed = placed.where(good).select("container_kind", "capacity", F.concat_ws("-", F.lit(f"l{level}"), "grp", "bin").alias("bin"), "doc_id", "piece", "size")
     return packed, placed.where(~good).select("container_kind", "capacity", "doc_id", "piece", "size")
 
 
-def packed(documents: DataFrame, sizes: DataFrame, tokenizer: str = RANKS, group_items: int = 600, target: float = 0.995, islands: int = 3, epochs: int = 2, population: int = 8, generations: int = 40, seed: int = 7, levels: int = 3, max_kinds: int = 100) -> DataFrame:
+def packed(documents: DataFrame, sizes: DataFrame, tokenizer: str = RANKS, group_items: int = 600, loss: float = 0.001, islands: int = 3, epochs: int = 2, population: int = 8, generations: int = 40, seed: int = 7, max_kinds: int = 100) -> DataFrame:
     """(container_kind, container_id, doc_id, piece_no, begin_token, tokens, capacity): every text in containers of every kind."""
-    counted = materialize(with_counts(documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", tokenizer).select("doc_id", "tokens").where("tokens > 0"), "tokens")
+    counted = materialize(with_counts(documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", tokenizer).groupBy("doc_id").agg(F.max("tokens").alias("tokens")).where("tokens > 0"), "tokens")
     kinds = sizes.where("capacity_tokens >= 1").groupBy("container_kind").agg(F.max("capacity_tokens").cast("int").alias("capacity"))
     named = kinds.orderBy("container_kind").limit(max_kinds + 1).collect()
     if len(named) > max_kinds:
@@ -189,15 +202,19 @@ def packed(documents: DataFrame, sizes: DataFrame, tokenizer: str = RANKS, group
     whole = pieces.where("size = capacity").select("container_kind", "capacity", F.concat_ws("-", F.lit("full"), "doc_id", "piece").alias("bin"), "doc_id", "piece", "size")
     left = pieces.where("size < capacity").select("container_kind", "capacity", "doc_id", "piece", "size")
     how = {"islands": islands, "epochs": epochs, "population": population, "generations": generations, "seed": seed}
-    out = whole
-    for level in range(levels):
-        last = level == levels - 1
+    out, level, before = whole, 0, None
+    while True:
         per_kind = left.groupBy("container_kind").agg(F.count("*").alias("n"))
+        most, count = per_kind.agg(F.max("n"), F.sum("n")).first()
+        # the last level: one group for each kind, or most items displaced again
+        last = (most or 0) <= group_items or before is not None and count > 0.5 * before
         groups = F.greatest(F.lit(1), F.ceil(F.col("n") / group_items)).cast("int")
         dealt = left.join(per_kind.withColumn("groups", groups).drop("n"), "container_kind")
         grp = F.pmod(F.xxhash64(F.lit(seed + level), "doc_id", "piece"), F.col("groups")).cast("int")
-        done, left = _level(dealt.withColumn("grp", grp).drop("groups"), target - 0.005 * level, how, level, last)
-        out = out.union(done)
+        done, left = _level(dealt.withColumn("grp", grp).drop("groups"), loss * (1 + level), how, level, last)
+        out, level, before = out.union(done), level + 1, count
+        if last:
+            break
     return out.select("container_kind", F.col("bin").alias("container_id"), "doc_id", F.col("piece").alias("piece_no"), (F.col("piece").cast("long") * F.col("capacity")).alias("begin_token"), F.col("size").alias("tokens"), "capacity")
 
 

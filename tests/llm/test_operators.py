@@ -323,6 +323,18 @@ def test_mixing(spark, data):
     assert all(abs(r.actual_share - r.target_share) < 4000 / total for r in shares)
 
 
+def test_mixing_all(spark, data):
+    """As many tokens as there are: what small sources lack goes to others, and no text is used too often."""
+    docs, targets = read(spark, data, "documents"), read(spark, data, "mix_targets")
+    uses, told = mixing.mixed(docs, targets, "all")
+    rows = {r.source: r for r in mixing.shares(uses, told).collect()}
+    default = {r.source: r for r in mixing.shares(*mixing.mixed(docs, targets)).collect()}
+    assert sum(r.tokens for r in rows.values()) > sum(r.tokens for r in default.values())
+    short = [r for r in rows.values() if r.actual_share < r.target_share - 0.005]
+    more = [r for r in rows.values() if r.actual_share > r.target_share + 0.002]
+    assert short and more and all(r.most_uses <= max(1, r.max_repeats) for r in rows.values())
+
+
 # 8
 
 CHAINS = [("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "mac_roman"), ("utf-8", "cp437"), ("utf-8", "cp1251"), ("utf-8", "cp1250")]
@@ -351,5 +363,20 @@ def test_garbled_polish(spark, written):
     assert {r.doc_id: r.text for r in garbled.restored(df).collect()} == {50: text}
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, data, name):
+    import glob
+    import os
+
+    import duckdb
+
+    con = duckdb.connect()
+    for path in glob.glob(f"{data}/*.parquet"):
+        con.execute(f"create view {os.path.basename(path)[:-8]} as select * from '{path}'")
+    got = queries.queries()[name](spark, data)
+    want = con.execute(queries.oracle_sql()[name])
+    assert got.columns == [d[0] for d in want.description] and Counter(map(tuple, got.collect())) == Counter(want.fetchall())
+
+
 def test_registered_names():
     assert {f"p{n}" for n in range(1, 9)} == {name.split("_")[0] for name in queries.queries()}
