@@ -14,6 +14,7 @@ NOTHING_FOUND = "No relevant documents found."
 UNKNOWN_SOURCE = "Unknown Source"
 UNKNOWN_TYPE = "unknown"
 NO_TITLE = "Title not found"
+NO_TRANSCRIPT_NOTE = "This video does not have transcripts available"
 NO_TRANSCRIPT = "Note: No transcript available for this video."
 VIDEO_HOSTS = ("www.youtube.com", "youtube.com")
 METHODS = ["multiquery", "decompose", "stepback", "hyde", "ragfusion"]
@@ -27,6 +28,11 @@ def normal_title(path: Column) -> Column:
     return F.replace(F.replace(stem, F.lit("_"), F.lit(" ")), F.lit("  "), F.lit(" "))
 
 
+def is_blank(value: Column) -> Column:
+    """True for null and for nothing but white space."""
+    return ~F.coalesce(value.rlike(r"\S"), F.lit(False))
+
+
 def is_url(value: Column) -> Column:
     """False for null."""
     return F.coalesce(value.startswith("http"), F.lit(False))
@@ -88,7 +94,8 @@ def availability(state: Column, error: Column) -> Column:
 
 def error_class(error: Column) -> Column:
     low = F.lower(error)
-    return F.when(low.contains("disabled"), "disabled").when(low.contains("unavailable"), "unavailable").when(low.contains("private"), "private").when(low.contains("no element found"), "retry").otherwise("other")
+    named = F.when(low.contains("disabled"), "disabled").when(low.contains("unavailable"), "unavailable").when(low.contains("private"), "private").when(low.contains("no element found"), "retry").otherwise("other")
+    return F.when(error.isNotNull(), named)
 
 
 def language_rank(language: Column, generated: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import NO_TITLE
+from larkspur.functions.text import NO_TITLE, NO_TRANSCRIPT_NOTE, metadata_text
 from larkspur.operators.fusion import keep_first
 
 
@@ -39,6 +39,20 @@ def enriched(clips: DataFrame, metadata: DataFrame, url: str) -> DataFrame:
     return joined.select(*kept, *[value.alias(c) for c, value in new.items()])
 
 
+def with_metadata_documents(clips: DataFrame, metadata: DataFrame, url: str) -> DataFrame:
+    """Enriched clips, and for each recording that no source gave any clip of a document made of its metadata.
+
+    Such a document begins at 0, says that there is no transcript, and carries the same columns as a clip; columns it has no
+    value for are null.
+    """
+    meta = with_defaults(metadata.select(F.col(url).alias("source"), "title", "description", *CLIP_COLUMNS)).drop("uploaded_on")
+    lone = meta.join(clips.select("source").where("source is not null").distinct(), "source", "left_anti").where("source is not null")
+    made = metadata_text(*[F.col(c) for c in ("title", "source", "description", "uploader", "duration", "tags")])
+    lone = lone.withColumn("page_content", made).drop("description")
+    lone = lone.withColumns({"type": F.lit("youtube"), "page": F.lit(0.0), "transcript_available": F.lit(False), "note": F.lit(NO_TRANSCRIPT_NOTE)})
+    return enriched(clips, metadata, url).unionByName(lone, allowMissingColumns=True)
+
+
 def progress(status: DataFrame) -> DataFrame:
     """(current, total, failed, percent) over rows (url, ok): percent is rounded half up, 0 for no rows."""
     total, done = F.count("*"), F.count_if(F.coalesce("ok", F.lit(False)))

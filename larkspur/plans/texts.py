@@ -161,9 +161,9 @@ def optional_sections(spark: SparkSession, directory: str) -> DataFrame:
     return rows.select("result_id", (F.coalesce("title", F.lit("")) != "").alias("shows_content"), shows.alias("shows_summary"), many.alias("view_all"))
 
 
-@plans.add("select request_id from process_request where trim(coalesce(text, ''), ' ') <> ''")
+@plans.add("select request_id from process_request where regexp_matches(coalesce(text, ''), '[^ \\t\\n\\r\\f\\v]')")
 def blank_guard(spark: SparkSession, directory: str) -> DataFrame:
-    return read(spark, directory, "process_request").where(F.trim(F.coalesce("text", F.lit(""))) != "").select("request_id")
+    return read(spark, directory, "process_request").where(~text.is_blank(F.col("text"))).select("request_id")
 
 
 # literal links: the forms a video can be named by
@@ -183,14 +183,38 @@ def url_video_id(spark: SparkSession, directory: str) -> DataFrame:
     return urls.select("url", text.video_id(F.col("url")).alias("video_id"), text.is_url(F.col("url")).alias("is_url"))
 
 
-@plans.add("""select url, case when age_limit >= 18 then 'restricted' when not coalesce(subtitles_available, true) then 'access_error' else 'available' end as availability,
-case when not coalesce(subtitles_available, true) then 'disabled' end as error_class from video_metadata""")
+# literal states and errors, one for each outcome and some for the order of the tests
+STATES = [("public", None), ("private", None), ("premium_only", None), ("subscriber_only", None), (None, None), (None, "Private video. Sign in"), (None, "Video unavailable"), (None, "This video was DELETED by its owner"), (None, "HTTP error 500"), ("private", "Video unavailable: Private video"), (None, "Transcripts are disabled"), (None, "no element found: line 1")]
+_STATES = ", ".join("(" + ", ".join("null" if x is None else f"'{x}'" for x in row) + ")" for row in STATES)
+
+
+@plans.add(f"""with s as (select case when age_limit >= 18 then 'premium_only' end as state, case when not coalesce(subtitles_available, true) then 'Subtitles are disabled for this video' end as error from video_metadata union all select * from (values {_STATES}))
+select state, error, case when error like '%Private video%' then 'private' when error like '%Video unavailable%' then 'unavailable' when lower(error) like '%deleted%' then 'deleted' when error is not null then 'access_error' when state in ('private', 'premium_only', 'subscriber_only') then 'restricted' else 'available' end as availability,
+case when error is null then null when lower(error) like '%disabled%' then 'disabled' when lower(error) like '%unavailable%' then 'unavailable' when lower(error) like '%private%' then 'private' when lower(error) like '%no element found%' then 'retry' else 'other' end as error_class from s""")
 def availability(spark: SparkSession, directory: str) -> DataFrame:
-    rows = read(spark, directory, "video_metadata")
     error = F.when(~F.coalesce("subtitles_available", F.lit(True)), "Subtitles are disabled for this video")
-    state = F.when(F.col("age_limit") >= 18, "premium_only")
-    told = F.when(F.col("age_limit") >= 18, text.availability(state, F.lit(None).cast("string"))).otherwise(text.availability(state, error))
-    return rows.select("url", told.alias("availability"), F.when(error.isNotNull(), text.error_class(error)).alias("error_class"))
+    rows = read(spark, directory, "video_metadata").select(F.when(F.col("age_limit") >= 18, "premium_only").alias("state"), error.alias("error"))
+    rows = rows.union(spark.createDataFrame(STATES, "state string, error string"))
+    return rows.select("state", "error", text.availability(F.col("state"), F.col("error")).alias("availability"), text.error_class(F.col("error")).alias("error_class"))
+
+
+@plans.add("""with c as (select distinct chunk_id, source, case source_method when 'caption_clip' then 1 when 'transcript_api' then 2 when 'subtitle_json3' then 3 else 4 end as p from chunks where type = 'youtube' and source is not null and source_method is distinct from 'transcript_api'),
+f as (select chunk_id, source from c where p = (select min(p) from c d where d.source = c.source)),
+m as (select * from video_metadata where url is not null qualify row_number() over (partition by url order by fetched_at desc nulls last) = 1)
+select source, chunk_id, null::boolean as transcript_available, null as content_md5 from f
+union all select url, null, false, md5(concat_ws(chr(10), 'YouTube video: ' || coalesce(title, 'Title not found'), 'URL: ' || url,
+  case when coalesce(description, '') <> '' then 'Description: ' || case when length(description) > 500 then left(description, 500) || '...' else description end end,
+  case when coalesce(uploader, '') <> '' then 'Channel: ' || uploader end, case when coalesce(duration, 0) <> 0 then 'Duration: ' || (duration // 60) || 'm ' || (duration % 60) || 's' end,
+  case when len(tags) > 0 then 'Tags: ' || array_to_string(tags[1:10], ', ') end, 'Note: No transcript available for this video.')) from m where url not in (select source from f)""")
+def fallback_chain(spark: SparkSession, directory: str) -> DataFrame:
+    """Clips of the first source that has any, and a document of metadata for recordings without; the second source is taken to be down."""
+    order = F.when(F.col("source_method") == "caption_clip", 1).when(F.col("source_method") == "transcript_api", 2).when(F.col("source_method") == "subtitle_json3", 3).otherwise(4)
+    clips = read(spark, directory, "chunks").where("type = 'youtube' and source is not null and not source_method <=> 'transcript_api'")
+    columns = ["chunk_id", "source", "page", "start_seconds", "title", *ingest.CLIP_COLUMNS]
+    clips = clips.withColumn("p", order).dropDuplicates(["chunk_id", "source", "p"]).select(*columns, "p")
+    meta = latest(read(spark, directory, "video_metadata"), "url", ["fetched_at"], ["title", "description", *ingest.CLIP_COLUMNS])
+    out = ingest.with_metadata_documents(ingest.first_source(clips, "source", "p").drop("p"), meta, "url")
+    return out.select("source", "chunk_id", "transcript_available", F.md5("page_content").alias("content_md5"))
 
 
 @plans.add("""with t as (select distinct title, language, source_method = 'transcript_api' as gen from chunks where type = 'youtube' and title is not null)

@@ -37,11 +37,13 @@ def build_session(app: str = "larkspur", master: str = "local[8]", shuffle_parti
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a private one only where that is unset."""
+    """The folder all executors share, from spark.checkpoint.dir. Only a local session, as in tests, may leave it unset and gets one of its own."""
     global _own_dir
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="larkspur_shared_")
         atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
@@ -63,6 +65,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Remove all tables written so far. For long sessions, once the results that read them are stored elsewhere."""
+    kept = [(session, path) for session, path in _written if session is not spark]
+    gone = [path for session, path in _written if session is spark]
+    _written[:] = kept
+    for path in gone:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _remove_written() -> None:
     """Results are lazy, so these tables are needed until the program ends."""
     for spark, path in _written:

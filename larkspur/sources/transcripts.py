@@ -1,77 +1,48 @@
-"""Transcript sources: a Python data source over landed files, with language preference and retries.
+"""Transcript sources: landed caption files of several methods, with language preference, and retries for remote ones.
 
-`larkspur_transcripts` reads <folder>/<method>/<video_id>.<language>.json3 and stands in for the three remote ways to get
-captions; a remote one replaces `fetch`.
+Files lie under <folder>/<method>/<video_id>.<language>.json3, generated ones with ~auto after the language. They are read by
+Spark's own file source, so from any file system and as many tasks as there is data for.
 """
 
 from __future__ import annotations
 
-import os
 import random
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from larkspur.functions.text import language_rank
 from larkspur.operators.fusion import keep_first
 
 METHODS = ["caption_clip", "transcript_api", "subtitle_json3"]
-SCHEMA = "video_id string, method string, language string, is_generated boolean, body string"
+# Fixed value: what an error says that is worth another try.
+TRY_AGAIN = "no element found"
 
 
 def with_retries(fetch: Callable[[], str], attempts: int = 3, wait: Callable[[float], None] = time.sleep) -> str:
-    """The result of fetch, tried again after uniform(1, 3) * attempt seconds."""
+    """The result of fetch, tried again after uniform(1, 3) * attempt seconds where the error is one of input, or says so."""
     for attempt in range(1, attempts + 1):
         try:
             return fetch()
-        except OSError:
-            if attempt == attempts:
+        except Exception as e:
+            if attempt == attempts or not (isinstance(e, OSError) or TRY_AGAIN in str(e)):
                 raise
             wait(random.uniform(1, 3) * attempt)
     raise AssertionError
 
 
-class TranscriptSource(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "larkspur_transcripts"
-
-    def schema(self) -> str:
-        return SCHEMA
-
-    def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
-        return TranscriptReader(self.options["path"])
-
-
-class TranscriptReader(DataSourceReader):
-    def __init__(self, path: str) -> None:
-        self.path = path.removeprefix("file://")
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(m) for m in METHODS if os.path.isdir(f"{self.path}/{m}")]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        import os
-
-        from larkspur.sources.transcripts import with_retries
-
-        folder = f"{self.path}/{partition.value}"
-        for name in sorted(os.listdir(folder)):
-            video, language, *rest = name.split(".")
-
-            def fetch(path: str = f"{folder}/{name}") -> str:
-                with open(path, encoding="utf-8") as f:
-                    return f.read()
-
-            yield video, partition.value, language.removesuffix("~auto"), language.endswith("~auto"), with_retries(fetch)
-
-
 def tracks(spark: SparkSession, folder: str) -> DataFrame:
-    spark.dataSource.register(TranscriptSource)
-    return spark.read.format("larkspur_transcripts").load(folder)
+    """(video_id, method, language, is_generated, body): one row per file."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json3").load(folder)
+    parts = F.split("path", "/")
+    name = F.split(F.element_at(parts, -1), "\\.")
+    language = F.get(name, F.lit(1))
+    return files.select(
+        F.get(name, F.lit(0)).alias("video_id"), F.element_at(parts, -2).alias("method"),
+        F.regexp_replace(language, "~auto$", "").alias("language"), language.endswith("~auto").alias("is_generated"), F.decode("content", "UTF-8").alias("body"),
+    )
 
 
 def preferred(tracks: DataFrame) -> DataFrame:

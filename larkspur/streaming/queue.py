@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from larkspur.operators.fusion import keep_first
 
@@ -78,16 +80,51 @@ def rate_limited(requests: DataFrame, client: str, time: str, rate: float = 10.0
 
 
 def dead_letter_batches(accepted: str, dead: str):  # noqa: ANN201
-    """A function for foreachBatch that writes accepted messages and dead letters to two tables."""
-    def write(batch: DataFrame, _: int) -> None:
-        told = batch.withColumn("outcome", outcome()).persist()
-        told.where("outcome = 'accepted'").drop("outcome").write.mode("append").parquet(accepted)
-        told.where("outcome <> 'accepted'").write.mode("append").parquet(dead)
-        told.unpersist()
+    """A function for foreachBatch that writes accepted messages and dead letters to two tables, partitioned by batch: one that is run again replaces itself."""
+    def write(batch: DataFrame, number: int) -> None:
+        told = batch.withColumn("outcome", outcome())
+        told.where("outcome = 'accepted'").drop("outcome").write.mode("overwrite").parquet(f"{accepted}/batch={number}")
+        told.where("outcome <> 'accepted'").write.mode("overwrite").parquet(f"{dead}/batch={number}")
 
     return write
 
 
+DELIVERY = "message_id string, at timestamp, happened string, receives int, visible_at timestamp"
+
+
+def deliveries(events: DataFrame, receives: int = MOST_RECEIVES, hidden_s: float = 300.0) -> DataFrame:
+    """(message_id, at, happened, receives, visible_at) for a stream of events (message_id, kind, at): what each one does.
+
+    send makes a message available. receive delivers it, unless it is hidden, for `hidden_s` seconds after a delivery, or has been
+    delivered `receives` times already, in which case it becomes a dead letter. delete ends it, and acknowledges its delivery.
+    An event that doesn't apply is ignored, and so is one that comes again. State is one small row per message, until it ends.
+    """
+
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        status, n, visible, last = state.get if state.exists else ("new", 0, 0, 0)
+        rows = sorted((int(t.value // 1000), order, k) for f in frames for k, t in f[["kind", "at"]].itertuples(index=False) for order in [("send", "delete", "receive").index(k) if k in ("send", "delete", "receive") else 3])
+        out = []
+        for at, _, kind in dict.fromkeys(rows):
+            happened = "ignored"
+            if kind == "send" and status == "new":
+                status, happened, visible = "available", "sent", at
+            elif kind == "delete" and status == "available":
+                status, happened = "ended", "deleted"
+            elif kind == "receive" and status == "available" and at < visible:
+                happened = "hidden"
+            elif kind == "receive" and status == "available" and n >= receives:
+                status, happened = "ended", "dead_letter"
+            elif kind == "receive" and status == "available":
+                n, visible, happened = n + 1, at + int(hidden_s * 1e6), "delivered"
+            out.append((key[0], pd.Timestamp(at, unit="us"), happened, n, pd.Timestamp(visible, unit="us")))
+            last = at
+        state.update((status, n, visible, last))
+        yield pd.DataFrame(out, columns=["message_id", "at", "happened", "receives", "visible_at"])
+
+    rows = events.where("message_id is not null and at is not null").select(F.col("message_id").cast("string").alias("message_id"), "kind", "at")
+    return rows.groupBy("message_id").applyInPandasWithState(fold, DELIVERY, "status string, n int, visible long, last long", "append", GroupStateTimeout.NoTimeout)
+
+
 class FileQueue:
     """A queue of JSON files in a shared folder: sending adds files, receiving is a stream over them, a checkpoint acknowledges."""
 

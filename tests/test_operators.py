@@ -291,6 +291,62 @@ def test_fan_out_takes_all_lines(spark):
     assert translation.fan_out(questions, lambda s: s.map(lambda _: "\n a\nb \n"), "parts", strip=True).count() == 2
 
 
+def test_deliveries(spark, tmp_path):
+    """Messages are hidden after a delivery, delivered three times at most, and ended by a delete; the counts stay over batches."""
+    batches = [
+        [("a", "send", 0), ("a", "receive", 1), ("a", "receive", 10), ("b", "send", 0)],
+        [("a", "receive", 400), ("a", "receive", 800), ("b", "receive", 5)],
+        [("a", "receive", 1200), ("a", "receive", 1600), ("b", "delete", 6), ("b", "receive", 700)],
+    ]
+    for rows in batches:
+        df = spark.createDataFrame(rows, "message_id string, kind string, t long").select("message_id", "kind", F.timestamp_seconds("t").alias("at"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = run_to_end(queue.deliveries(stream_of(spark, str(tmp_path / "in"), 1))).orderBy("at").collect()
+    assert [(r.happened, r.receives) for r in got if r.message_id == "a"] == [("sent", 0), ("delivered", 1), ("hidden", 1), ("delivered", 2), ("delivered", 3), ("dead_letter", 3), ("ignored", 3)]
+    assert [r.happened for r in got if r.message_id == "b"] == ["sent", "delivered", "deleted", "ignored"]
+
+
+def test_deleted_is_not_delivered_again(spark, tmp_path):
+    rows = [("b", "send", 0), ("b", "receive", 5), ("b", "delete", 6), ("b", "receive", 700), ("c", "receive", 1)]
+    df = spark.createDataFrame(rows, "message_id string, kind string, t long").select("message_id", "kind", F.timestamp_seconds("t").alias("at"))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    got = run_to_end(queue.deliveries(stream_of(spark, str(tmp_path / "in")))).orderBy("message_id", "at").collect()
+    assert [(r.message_id, r.happened) for r in got] == [("b", "sent"), ("b", "delivered"), ("b", "deleted"), ("b", "ignored"), ("c", "ignored")]
+
+
+def test_batch_run_again(spark, tmp_path):
+    good, dead = str(tmp_path / "good"), str(tmp_path / "dead")
+    write = queue.dead_letter_batches(good, dead)
+    df = spark.createDataFrame([(1, 1, "x"), (2, 3, "x")], "request_id long, receive_count int, text string")
+    for number in (0, 0, 1):
+        write(df, number)
+    assert spark.read.parquet(good).count() == 2 and spark.read.parquet(dead).count() == 2
+
+
+def test_upsert(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for rows in ([("a", 1), ("a", 2), ("b", 1)], [("a", 3), ("c", 1)]):
+        files.upsert(spark.createDataFrame(rows, "title string, n int"), path, "title")
+    assert sorted((r.title, r.n) for r in spark.read.parquet(path).collect()) == [("a", 3), ("b", 1), ("c", 1)]
+
+
+def test_pdf_path(spark, tmp_path):
+    (tmp_path / "One.pdf").write_bytes(("word " * 2000 + "\f" + "short").encode())
+    read_files = files.pdf_files(spark, str(tmp_path))
+    parts = files.pdf_chunks(read_files).collect()
+    assert all(len(r.chunk) <= 512 for r in parts) and {r.page for r in parts} == {0.0, 1.0} and len({(r.page, r.part_no) for r in parts}) == 4
+    assert files.pdf_errors(read_files, lambda b: 1 / 0).first().error == "division by zero" and files.pdf_errors(read_files).count() == 0
+
+
+def test_metadata_documents(spark):
+    clips = spark.createDataFrame([("c1", "u1", None, 7.0, "old", 1, "x", "x", "", 1, ["t"], ["k"], "en")], "chunk_id string, source string, page double, start_seconds double, title string, duration long, uploader string, channel string, upload_date string, view_count long, tags array<string>, categories array<string>, language string")
+    meta = spark.createDataFrame([("u1", "T1", "d", 5, None, "ch", None, None, None, None, "fr"), ("u2", None, None, None, "up", None, None, None, None, None, None)], "url string, title string, description string, duration long, uploader string, channel string, upload_date string, view_count long, tags array<string>, categories array<string>, language string")
+    got = {r.source: r for r in ingest.with_metadata_documents(clips, meta, "url").collect()}
+    one, two = got["u1"], got["u2"]
+    assert (one.title, one.duration, one.uploader, one.language, one.page, one.tags) == ("T1", 5, "", "fr", 7.0, []) and one.page_content is None
+    assert two.page_content == "YouTube video: Title not found\nURL: u2\nChannel: up\nNote: No transcript available for this video." and two.transcript_available is False and two.page == 0
+
+
 def test_file_queue(spark, tmp_path):
     q = queue.FileQueue(spark, str(tmp_path / "q"))
     q.send(spark.createDataFrame([(1, "in", "x", 5), (2, "in", "y" * 300_000, 5)], "request_id long, queue_name string, text string, chunk_size int"))
