@@ -162,16 +162,6 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def with_hashes(words: DataFrame) -> DataFrame:
-    """(word, n, h)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.record_batch([*batch.columns, pa.array(hashed(batch.column(0).to_pylist()), pa.int64())], names=["word", "n", "h"])
-
-    return words.mapInArrow(run, "word string, n long, h long")
-
-
 def garbled_words(words: DataFrame) -> DataFrame:
     """(word, original, chain): the corpus words that are garbled; original is null where it can't be restored.
 
@@ -180,21 +170,19 @@ def garbled_words(words: DataFrame) -> DataFrame:
 
     def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, each = [], []
+            rows: list[tuple] = []
             for word, n, h in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if REPLACED in word or scripts(word) > 1 or reversed_once(word) or any("\x80" <= c <= "\x9f" for c in word):
                     continue  # not clean itself
-                for f, (_, swap) in garbled_forms(word).items():
-                    each.append(f)
-                    rows.append((h, n, swap and scripts(f) < 2))
-                if len(each) > 50_000:
-                    yield out(each, rows)
-                    rows, each = [], []
-            yield out(each, rows)
-
-    def out(each: list[str], rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows, strict=True)) or [[]] * 3
-        return pa.record_batch([pa.array(hashed(each), pa.int64()), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_()), strict=True))], names=["h", "oh", "of", "swap"])
+                rows += [(f, h, n, swap and scripts(f) < 2) for f, (_, swap) in garbled_forms(word).items()]
+                if len(rows) > 50_000:
+                    yield out(rows)
+                    rows = []
+            yield out(rows)
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) or [[]] * 4
+        return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["form", "oh", "of", "swap"])
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,7 +202,8 @@ def garbled_words(words: DataFrame) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [[]] * 3
             yield pa.record_batch([pa.array(c, pa.string()) for c in cols], names=["word", "original", "chain"])
 
-    table = words.select("word", "n", "h").mapInArrow(forms, "h long, oh long, of long, swap boolean")
+    spread = words.repartition(words.sparkSession.sparkContext.defaultParallelism, "h").select("word", "n", "h")
+    table = spread.mapInArrow(forms, "form string, oh long, of long, swap boolean").select(F.xxhash64("form").alias("h"), "oh", "of", "swap")
     originals = words.select(F.col("h").alias("oh"), F.col("word").alias("original"))
     met = words.join(table, "h").where(~F.col("swap") | (F.length("word") >= 3) & (F.col("of") >= 3 * F.col("n"))).join(originals, "oh")
     met = met.where(~F.col("swap") | F.col("original").rlike(r"[A-Za-z]{2}")).select("word", "original", "of", "swap").mapInArrow(checked, "word string, original string, of long, swap boolean, chain string")
@@ -227,7 +216,7 @@ def garbled_words(words: DataFrame) -> DataFrame:
 def findings(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents, findings): findings (doc_id, word, original, chain), one row per garbled word or stretch of a document."""
     docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    words = materialize(with_hashes(count_words(docs)), "words")
+    words = materialize(count_words(docs).withColumn("h", F.xxhash64("word")), "words")
     garbled = materialize(garbled_words(words), "garbled")
 
     def hash_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
