@@ -160,7 +160,7 @@ f(request_id, n, s, i, no, filled) as (
   union all
   select request_id, n, s, i + 1, case when filled + length(s[i + 1]) <= n then no else no + 1 end, case when filled + length(s[i + 1]) <= n then filled + 1 + length(s[i + 1]) else length(s[i + 1]) end from f where i < len(s)),
 c as (select request_id, max(no) + 1 as chunks from f group by 1)
-select request_id, case when coalesce(length(text), 0) = 0 then 400 else 200 end as status_code, coalesce(chunks, 0) as chunk_count, coalesce(least(chunks, 768, case when pca_components >= 1 then pca_components else 256 end), 0) as embedding_dimensions
+select request_id, case when coalesce(length(text), 0) = 0 then 400 else 200 end as status_code, coalesce(chunks, 0) as chunk_count, case when chunks is null then 0 else least(chunks, 768, case when pca_components >= 1 then pca_components else 256 end) end as embedding_dimensions
 from l left join c using (request_id)""")
 def worker_process(spark: SparkSession, directory: str) -> DataFrame:
     out = processed(queue.latest_delivery(read(spark, directory, "process_request")), "request_id")
