@@ -28,7 +28,7 @@ SOUND = r"(?i)<i>[^<]*</i>|\*[^*\n]{1,60}\*|♪[^♪]*♪|♪|\[(?:inaudible|cro
 # A label is a name between brackets, a name before a colon, or surname and first name before a dash.
 LABEL = (
     r"(?i)(?:(?:>>+|-)\s*)?"
-    r"(?:\[\s*([a-z][a-z.' -]*?)\s*\]|speaker\s*\(\s*([a-z][a-z.' -]*?)\s*\)\s*:|(?<![a-z'-])((?:[a-z]+\.?\s+){0,2}[a-z]+\.?)\s*:|(?<![a-z'-])([a-z]+,?\s+[a-z]+)\s+[-–](?=\s))(?=\s|$)"
+    r"(?:\[\s*([\p{L}][\p{L}.' -]*?)\s*\]|speaker\s*\(\s*([\p{L}][\p{L}.' -]*?)\s*\)\s*:|(?<![\p{L}'-])((?:[\p{L}]+\.?\s+){0,2}[\p{L}]+\.?)\s*:|(?<![\p{L}'-])([\p{L}]+,?\s+[\p{L}]+)\s+[-–](?=\s))(?=\s|$)"
 )
 
 

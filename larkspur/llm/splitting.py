@@ -7,7 +7,7 @@ its inner boundaries are weaker than those around it, so merging would put it to
 
 Sizes are in code points. Each piece but the first begins with the last `overlap` code points of the piece before,
 and no piece exceeds the limit; without their overlaps the pieces are the item, character for character. No cut
-falls before a combining mark or a joiner.
+falls before a combining mark or a joiner, but where a run of them is longer than a piece.
 
 Defined results: null or empty texts and items within the limit are not split and give no row; a limit that is null or
 below 1 is replaced by the table's default; where the limit is at most twice the overlap, the overlap is cut to half

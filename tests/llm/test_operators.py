@@ -274,6 +274,13 @@ def test_turns(spark, window):
     assert text[1] == "Thank you Bo, and so on." and text[2] == "As Ann put it: ask for it." and text[7] == "Again. and again"
 
 
+def test_accented_labels(spark):
+    said = ["JOSÉ ÁLVAREZ: Good evening.", "[Żak] I agree.", "José: and so on.", "Naïve: isn't a name."]
+    df = spark.createDataFrame([(i, "v", t, float(i), None) for i, t in enumerate(said)], "entry_id long, video_id string, text string, start double, ingested_at timestamp")
+    speakers = spark.createDataFrame([("a", "José Álvarez"), ("b", "Ola Żak")], "speaker_key string, full_name string")
+    assert sorted((r.entry_id, r.speaker_key) for r in speaker_turns.turn_starts(df, speakers).collect()) == [(0, "a"), (1, "b"), (2, "a")]
+
+
 # 6 and 7
 
 
