@@ -29,55 +29,63 @@ from larkspur.session import materialize
 
 
 class Packing:
-    """Containers (lists of item numbers) with what is free in each."""
+    """Containers (lists of item numbers), which are never changed in place, with what is in each."""
 
-    def __init__(self, sizes: list[int], capacity: int, bins: list[list[int]] | None = None) -> None:
+    def __init__(self, sizes: list[int], capacity: int, bins: list[list[int]] | None = None, fills: list[int] | None = None) -> None:
         self.sizes, self.capacity = sizes, capacity
-        self.bins = [list(b) for b in bins or []]
-
-    def fill(self, b: list[int]) -> int:
-        return sum(self.sizes[i] for i in b)
+        self.bins = list(bins or [])
+        self.fills = [sum(sizes[i] for i in b) for b in self.bins] if fills is None else list(fills)
 
     def fitness(self) -> float:
-        return sum((self.fill(b) / self.capacity) ** 2 for b in self.bins) / max(1, len(self.bins))
+        return sum(f * f for f in self.fills) / (self.capacity * self.capacity * max(1, len(self.fills)))
 
     def insert(self, items: list[int]) -> None:
         """Best fit: each item, largest first, into the fullest container that takes it."""
-        free = sorted((self.capacity - self.fill(b), k) for k, b in enumerate(self.bins))
-        for i in sorted(items, key=lambda i: (-self.sizes[i], i)):
-            at = bisect.bisect_left(free, (self.sizes[i], -1))
+        sizes, capacity = self.sizes, self.capacity
+        items = sorted(items, key=lambda i: (-sizes[i], i))
+        # containers too full for the smallest item never take one
+        free = sorted((capacity - f, k) for k, f in enumerate(self.fills) if items and capacity - f >= sizes[items[-1]])
+        added: dict[int, list[int]] = {}
+        for i in items:
+            at = bisect.bisect_left(free, (sizes[i], -1))
             if at == len(free):
-                self.bins.append([i])
-                bisect.insort(free, (self.capacity - self.sizes[i], len(self.bins) - 1))
+                room, k = capacity, len(self.bins)
+                self.bins.append([])
+                self.fills.append(0)
             else:
                 room, k = free.pop(at)
-                self.bins[k].append(i)
-                bisect.insort(free, (room - self.sizes[i], k))
+            added.setdefault(k, []).append(i)
+            self.fills[k] += sizes[i]
+            bisect.insort(free, (room - sizes[i], k))
+        for k, more in added.items():
+            self.bins[k] = self.bins[k] + more
 
 
 def crossed(a: Packing, b: Packing, rng: random.Random) -> Packing:
     """b's best filled containers injected into a."""
-    ranked = sorted(b.bins, key=lambda x: (-b.fill(x), x))
+    ranked = sorted(range(len(b.bins)), key=lambda k: (-b.fills[k], b.bins[k]))
     best = ranked[: max(1, len(ranked) // 2)]
-    injected = [list(x) for x in best if rng.random() < 0.5] or [list(best[0])]
-    taken = {i for x in injected for i in x}
-    kept, displaced = [], []
-    for x in a.bins:
+    chosen = [k for k in best if rng.random() < 0.5] or [best[0]]
+    taken = {i for k in chosen for i in b.bins[k]}
+    kept, fills, displaced = [], [], []
+    for x, f in zip(a.bins, a.fills, strict=True):
         if taken.isdisjoint(x):
-            kept.append(list(x))
+            kept.append(x)
+            fills.append(f)
         else:
             displaced += [i for i in x if i not in taken]
-    child = Packing(a.sizes, a.capacity, kept + injected)
+    child = Packing(a.sizes, a.capacity, kept + [b.bins[k] for k in chosen], fills + [b.fills[k] for k in chosen])
     child.insert(displaced)
     return child
 
 
 def mutated(a: Packing, rng: random.Random) -> Packing:
     """Some of the worst filled containers, and one at random, emptied and packed again."""
-    order = sorted(range(len(a.bins)), key=lambda k: (a.fill(a.bins[k]), k))
+    order = sorted(range(len(a.bins)), key=lambda k: (a.fills[k], k))
     drop = set(order[: max(2, len(order) // 10)]) | {rng.randrange(len(a.bins))}
-    child = Packing(a.sizes, a.capacity, [x for k, x in enumerate(a.bins) if k not in drop])
-    loose = [i for k in drop for i in a.bins[k]]
+    kept = [k for k in range(len(a.bins)) if k not in drop]
+    child = Packing(a.sizes, a.capacity, [a.bins[k] for k in kept], [a.fills[k] for k in kept])
+    loose = [i for k in sorted(drop) for i in a.bins[k]]
     rng.shuffle(loose)
     split = len(loose) // 3
     child.insert(loose[split:])
