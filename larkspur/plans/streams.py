@@ -16,7 +16,7 @@ plans = Registry()
 @plans.add("select distinct qid, event_no, rank_no from search_results where emitted_at is not null")
 def stream_dedupe(spark: SparkSession, directory: str) -> DataFrame:
     stream = stream_of(spark, f"{directory}/search_results.parquet").where("emitted_at is not null")
-    once = events.once(stream.select("qid", "event_no", "rank_no", "emitted_at"), ["qid", "event_no", "rank_no"], "emitted_at", "3650 days")
+    once = events.once(stream.select("qid", "event_no", "rank_no", "emitted_at"), ["qid", "event_no", "rank_no"], "emitted_at")
     return run_to_end(once.drop("emitted_at"))
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from larkspur.functions.json_doc import sse_frame
 
@@ -16,6 +20,22 @@ def numbered(events: DataFrame, group: str, order: list[str]) -> DataFrame:
     return events.withColumn("order", F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1)
 
 
+def numbered_stream(events: DataFrame, group: str, order: str) -> DataFrame:
+    """As `numbered`, over a stream of (group, order column, message): the count goes on over micro-batches and is all the state there is."""
+
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (n,) = state.get if state.exists else (0,)
+        rows = pd.DataFrame([r for f in frames for r in f[[group, order, "message"]].itertuples(index=False)], columns=[group, order, "message"]).sort_values(order, kind="stable")
+        rows["order"] = range(n, n + len(rows))
+        state.update((n + len(rows),))
+        yield rows
+
+    kinds = dict(events.dtypes)
+    schema = f"{group} {kinds[group]}, {order} {kinds[order]}, message string, `order` long"
+    rows = events.where(F.col(group).isNotNull()).select(group, order, "message")
+    return rows.groupBy(group).applyInPandasWithState(fold, schema, "n long", "append", GroupStateTimeout.NoTimeout)
+
+
 def emitted(events: DataFrame, tags: str = "tags", wanted: tuple[str, ...] = ("final_answer", "retriever_end", "reformulated")) -> DataFrame:
     return events.where(F.arrays_overlap(F.col(tags), F.array(*[F.lit(t) for t in wanted])))
 

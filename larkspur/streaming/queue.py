@@ -133,6 +133,20 @@ class FileQueue:
     def __init__(self, spark, path: str) -> None:  # noqa: ANN001
         self.spark, self.path = spark, path
 
+    def _folder(self):  # noqa: ANN202
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+
+    def create(self) -> None:
+        """Makes the queue's folder; one that is there stays as it is."""
+        system, where = self._folder()
+        system.mkdirs(where)
+
+    def delete(self) -> None:
+        """Removes the queue with all its messages."""
+        system, where = self._folder()
+        system.delete(where, True)
+
     def send(self, messages: DataFrame) -> None:
         """Messages over the size cap aren't sent."""
         messages.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= MOST_BYTES).write.mode("append").json(self.path)

@@ -349,9 +349,20 @@ def test_metadata_documents(spark):
 
 def test_file_queue(spark, tmp_path):
     q = queue.FileQueue(spark, str(tmp_path / "q"))
+    q.create()
+    assert q.attributes() == {"ApproximateNumberOfMessages": 0}
     q.send(spark.createDataFrame([(1, "in", "x", 5), (2, "in", "y" * 300_000, 5)], "request_id long, queue_name string, text string, chunk_size int"))
     assert q.attributes() == {"ApproximateNumberOfMessages": 1}
     assert [r.request_id for r in run_to_end(q.receive(archive=str(tmp_path / "a"))).collect()] == [1]
+    q.delete()
+    assert not (tmp_path / "q").exists()
+
+
+def test_numbered_stream(spark, tmp_path):
+    for rows in ([("x", 2, "b"), ("x", 1, "a"), ("y", 1, "c")], [("x", 3, "d"), ("y", 2, "e")]):
+        spark.createDataFrame(rows, "qid string, t long, message string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = run_to_end(events.numbered_stream(stream_of(spark, str(tmp_path / "in"), 1), "qid", "t"))
+    assert sorted((r.qid, r.order, r.message) for r in got.collect()) == [("x", 0, "a"), ("x", 1, "b"), ("x", 2, "d"), ("y", 0, "c"), ("y", 1, "e")]
 
 
 def test_placeholder_and_two_levels(spark):
