@@ -20,6 +20,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,22 +42,30 @@ FAR = re.compile(r"[ऀ-
 REPLACED = "�"
 
 
+@cache
+def _characters(encoding: str) -> dict[int, str]:
+    """What each byte is read as; undefined ones are the control characters of the same number."""
+    return {i: bytes([i]).decode(encoding, "ignore") or chr(i) for i in range(256)}
+
+
+@cache
+def _bytes(encoding: str) -> dict[str, int]:
+    defined = {c: i for i in range(256) if (c := bytes([i]).decode(encoding, "ignore"))}
+    return {chr(i): i for i in range(0x80, 0xA0)} | defined
+
+
 def read_as(raw: bytes, encoding: str) -> str:
     """Decode, with bytes the encoding leaves undefined read as the control characters of the same number."""
-    return "".join(raw[i : i + 1].decode(encoding, "ignore") or chr(raw[i]) for i in range(len(raw)))
+    return raw.decode("latin-1").translate(_characters(encoding))
 
 
 def written_in(text: str, encoding: str) -> bytes | None:
     """The inverse of read_as; None if a character is in neither."""
-    out = bytearray()
-    for c in text:
-        try:
-            out += c.encode(encoding)
-        except UnicodeEncodeError:
-            if not 0x80 <= ord(c) <= 0x9F:
-                return None
-            out.append(ord(c))
-    return bytes(out)
+    table = _bytes(encoding)
+    try:
+        return bytes([table[c] for c in text])
+    except KeyError:
+        return None
 
 
 def reversed_once(word: str) -> tuple[str, str] | None:
