@@ -12,6 +12,10 @@ from larkspur.operators import retrieval, translation
 from larkspur.operators.fusion import reciprocal_rank_fusion, unique_union
 from larkspur.session import materialize
 
+# A context is of several documents and can have a million characters: rows go to Python by their bytes, not by number.
+BATCH_BYTES = 8 << 20
+
+
 def indexed(chunks: DataFrame, key: str, text: str, embed: Callable[[Column], Column]) -> DataFrame:
     """(vec_id, embedding) for a numeric key; texts stay behind until after the search."""
     return chunks.where(F.col(text) != "").select(F.col(key).cast("long").alias("vec_id"), embed(F.col(text)).alias("embedding"))
@@ -98,7 +102,9 @@ def ask(questions: DataFrame, chunks: DataFrame, key: str, model: translation.Mo
     """(qid, answer) for questions (qid, question, label): retrieval for document requests, else a plain answer.
 
     With a history (qid, history), what is searched is the question rewritten to stand alone; the answer sees both.
+    The session's Arrow batches are limited to BATCH_BYTES.
     """
+    questions.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     history = questions.select("qid", F.lit(None).cast("string").alias("history")).limit(0) if history is None else history.select("qid", "history")
     routed = contextualised(translation.routed(questions, "label"), history, model)
     searched = routed.where("intent = 'retrieval'").select("qid", "method", F.col("standalone").alias("question"))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from larkspur.session import materialize
 
 STEP = 4096
+CELLS = 1 << 20  # scores made at once
 
 
 def _by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -36,28 +37,50 @@ def _by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 class _Best:
-    """The k best rows so far of each query, fed block by block."""
+    """The k best rows so far of each query, fed block by block. Scores are made for some queries at a time, so that their matrix has at most CELLS numbers."""
 
     def __init__(self, matrices: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> None:
         self.matrices, self.k = matrices, k
-        self.held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.parts: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.least = {dim: np.full(len(at), -np.inf) for dim, (at, _) in matrices.items()}  # the k-th best, once there are k
 
     def add(self, ids: np.ndarray, rows: np.ndarray) -> None:
         dim = rows.shape[1]
         if dim not in self.matrices or not len(ids) or self.k < 1:
             return
         for at in range(0, len(ids), STEP):
-            some = ids[at : at + STEP]
-            scores = self.matrices[dim][1] @ rows[at : at + STEP].T
-            least = np.partition(scores, -self.k, axis=1)[:, -self.k] if scores.shape[1] > self.k else np.full(len(scores), -np.inf)
-            q, r = np.nonzero(scores >= least[:, None])
-            new = (q, some[r], scores[q, r])
-            q, i, s = (np.concatenate(x) for x in zip(self.held[dim], new, strict=True)) if dim in self.held else new
-            order = np.lexsort((i, -s, q))
-            q = q[order]
-            place = np.arange(len(q)) - np.searchsorted(q, q)
-            keep = order[place < self.k]
-            self.held[dim] = (q[place < self.k], i[keep], s[keep])
+            some, turned = ids[at : at + STEP], rows[at : at + STEP].T
+            for first in range(0, len(self.matrices[dim][0]), CELLS // STEP):
+                self._meet(dim, slice(first, first + CELLS // STEP), some, turned)
+
+    def _meet(self, dim: int, chosen: slice, ids: np.ndarray, rows: np.ndarray) -> None:
+        scores = self.matrices[dim][1][chosen] @ rows
+        least = self.least[dim][chosen]
+        if scores.shape[1] > self.k and not np.isfinite(least).all():
+            least = np.maximum(least, np.partition(scores, -self.k, axis=1)[:, -self.k])
+        q, r = np.nonzero(scores >= least[:, None])
+        if not len(q):
+            return
+        name = (dim, chosen.start)
+        new = (q, ids[r], scores[q, r])
+        q, i, s = (np.concatenate(x) for x in zip(self.parts[name], new, strict=True)) if name in self.parts else new
+        order = np.lexsort((i, -s, q))
+        q = q[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        kept = place < self.k
+        self.parts[name] = (q[kept], i[order[kept]], s[order[kept]])
+        last = place == self.k - 1
+        self.least[dim][chosen.start + q[last]] = s[order[last]]
+
+    @property
+    def held(self) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """By length: (number of the query, id, score)."""
+        out = {}
+        for dim in self.matrices:
+            of = [(q + first, i, s) for (d, first), (q, i, s) in self.parts.items() if d == dim]
+            if of:
+                out[dim] = tuple(np.concatenate(x) for x in zip(*of, strict=True))
+        return out
 
     def batch(self, keys: pa.Table, names: list[str]) -> pa.RecordBatch:
         parts = [(self.matrices[d][0][q], i, s) for d, (q, i, s) in self.held.items()]

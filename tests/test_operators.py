@@ -284,6 +284,37 @@ def test_ask(spark):
     assert said[1].endswith(" | earlier | fees for records") and said[3] == "general: hello"
 
 
+def test_ask_in_bounded_batches(spark):
+    """Rows with long texts come to the model in batches of some MB, however many there are."""
+    from larkspur.operators import asking
+
+    n = 120
+    questions = spark.range(n).select(F.col("id").alias("qid"), F.lit("q").alias("question"), F.lit("chat").alias("label"))
+    history = questions.select("qid", F.repeat(F.lit("x"), 1 << 20).alias("history"))
+    chunks = spark.createDataFrame([], "id long, page_content string, title string, type string, source string, page double, summary string")
+    out = asking.ask(questions, chunks, "id", lambda prompts: prompts.map(lambda _: str(prompts.str.len().sum())), embedding.hash_embedder(), history=history).collect()
+    assert len(out) == n and max(int(r.answer) for r in out) <= asking.BATCH_BYTES + (2 << 20)
+
+
+def test_top_k_of_many_queries():
+    """All scores of 20,000 queries with a block of rows would take 655 MB."""
+    import tracemalloc
+
+    rng = np.random.default_rng(7)
+    given, rows = rng.integers(0, 9, (20_000, 4)).astype(float), rng.integers(0, 9, (5_000, 4)).astype(float)
+    ids = rng.permutation(5_000)
+    best = retrieval._Best({4: (np.arange(20_000), given)}, 3)
+    tracemalloc.start()
+    best.add(ids, rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    q, i, _ = best.held[4]
+    assert peak < 100 << 20 and len(q) == 60_000
+    for x in range(0, 20_000, 997):
+        order = np.lexsort((ids, -(rows @ given[x])))[:3]
+        assert sorted(i[q == x]) == sorted(ids[order])
+
+
 def test_fan_out_takes_all_lines(spark):
     questions = spark.createDataFrame([(1, "q")], "qid long, question string")
     many = translation.fan_out(questions, lambda s: s.map(lambda _: "\n".join("abcdefg") + "\n"), "multi")
