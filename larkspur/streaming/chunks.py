@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from larkspur.session import materialize
+
+MERGED = 8  # key tables of a load that are made into one
 OUT = "video_id string, start_seconds double, end_seconds double, text string"
 STATE = "anchor double, top double, starts array<double>, ids array<bigint>, texts array<string>"
 
@@ -52,18 +57,44 @@ def anchored_stream(entries: DataFrame, length: float = 60.0, lateness: float =
 def load_batches(target: str, key: str, parts: int = 64):  # noqa: ANN201
     """A function for foreachBatch that appends rows whose key isn't stored yet.
 
-    The store is partitioned by the key's hash, and a batch is checked against the partitions it falls into only. A batch
-    that is run again adds nothing. Any failure but that of a store that isn't there yet is raised.
+    The store is partitioned by the key's hash, a file for each part and batch. A batch that is run again adds nothing. Any
+    failure but that of a store that isn't there yet is raised. A batch is checked against key tables, which are merged as
+    they grow in number, so that it doesn't open every file of the store. They are made from the store itself at first, and
+    again whenever its files aren't those that the last batch left.
     """
+    levels: list[list[DataFrame]] = []
+    left: list[tuple[int, int]] = []  # number and bytes of the store's files after the last batch
+
+    def hold(keys: DataFrame) -> None:
+        for no in itertools.count():
+            if no == len(levels):
+                levels.append([])
+            levels[no].append(materialize(keys.repartition(key) if no else keys, "keys"))
+            if len(levels[no]) < MERGED:
+                return
+            keys, levels[no] = functools.reduce(DataFrame.union, levels[no]), []
+
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates([key]).withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
         where = spark._jvm.org.apache.hadoop.fs.Path(target)
-        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-            touched = [r["part"] for r in new.select("part").distinct().collect()]  # at most `parts`
-            stored = spark.read.schema(new.schema).parquet(target).where(F.col("part").isin(touched)).select("part", key)
-            new = new.join(stored, ["part", key], "left_anti")
-        new.write.mode("append").partitionBy("part").parquet(target)
+        system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+        def files() -> tuple[int, int]:
+            found = system.getContentSummary(where)
+            return found.getFileCount(), found.getLength()
+
+        new = batch.dropDuplicates([key]).withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+        there = system.exists(where)
+        if not there or left != [files()]:
+            levels.clear()
+            if there:
+                hold(spark.read.schema(new.schema).parquet(target).select(key))
+        left.clear()  # of a batch that fails nothing is known
+        if known := list(itertools.chain.from_iterable(levels)):
+            new = new.join(functools.reduce(DataFrame.union, known), key, "left_anti")
+        new.select(*batch.columns, "part").repartition("part").write.mode("append").partitionBy("part").parquet(target)
+        hold(batch.select(key).distinct())
+        left.append(files())
 
     return write
 

@@ -204,6 +204,20 @@ def test_load_batches(spark, tmp_path):
         write(df, 1)
 
 
+def test_load_of_many_batches(spark, tmp_path):
+    """A part gets one file a batch, keys of any earlier batch are known, as are those that others have stored since, and after a restart."""
+    target = str(tmp_path / "store")
+    write = chunks.load_batches(target, "k", 2)
+    for b in range(10):
+        write(spark.range(100 * b, 100 * b + 150).selectExpr("cast(id as string) as k", f"{b} as n").repartition(8), b)
+    assert len(list((tmp_path / "store").glob("part=*/*.parquet"))) <= 20
+    rows = spark.read.parquet(target)
+    assert sorted(int(r.k) for r in rows.collect()) == list(range(1050)) and rows.where("n != least(9, int(k) div 100) and n != int(k) div 100 - 1").isEmpty()
+    chunks.load_batches(target, "k", 2)(spark.createDataFrame([("5", 1), ("other", 1)], "k string, n int"), 0)
+    write(spark.createDataFrame([("other", 2), ("own", 2)], "k string, n int"), 10)
+    assert spark.read.parquet(target).where("k in ('5', 'other', 'own')").count() == 3 and spark.read.parquet(target).count() == 1052
+
+
 def test_stream_dead_letters(spark, data, tmp_path):
     good, dead = str(tmp_path / "good"), str(tmp_path / "dead")
     run_to_end(stream_of(spark, f"{data}/process_request.parquet"), each=queue.dead_letter_batches(good, dead))
