@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -213,6 +214,19 @@ def test_pairs_in_blocks(spark, data, similar):
     assert {tuple(r) for r in got.collect()} == similar[0]
 
 
+def test_postings_of_13_bytes():
+    """Tokens that differ in their upper bytes only make a pair a candidate and lose none; a posting takes no more room than that."""
+    n, low = 1_000, np.arange(1_000, dtype=np.uint64)
+    docs = [(1, 1, n, np.zeros(6, "<u8")), (2, 2, n, np.zeros(6, "<u8"))]
+    tokens = [low, low + np.uint64(1 << 40)]
+    place, none = np.arange(n), np.zeros(n, dtype=np.uint64)
+    batch = near_duplicates._packed(docs, [(t, np.full(n, i), place, none, none) for i, t in enumerate(tokens)], np.arange(1))
+    raw = batch.column(1)[0].as_py()
+    assert len(raw) <= 13 * 2 * n + 2 * 72 + 8
+    pairs = list(near_duplicates._pairs(*near_duplicates._unpacked([raw]), 0.6))
+    assert {(int(a), int(b)) for (a, _), (b, _) in pairs for a, b in zip(a, b, strict=True)} == {(1, 2)}
+
+
 def test_families(spark):
     """Two families whose shortest lists are private to each: the pairs between them are met in longer lists."""
     common = [f"c{i}" for i in range(162)]
